@@ -13,12 +13,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm import html_extract
+
+    return html_extract.extract(table(prepare(spark), sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm import pieces
 
     return pieces.digest(table(prepare(spark), sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece)}
 
 SQL: dict[str, str] = {}
