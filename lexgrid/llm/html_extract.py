@@ -189,7 +189,7 @@ def features(found: list[Block]) -> list[tuple]:
 
 # The labelled table: layouts of pages. A line is the markup around a block (outermost first), its words, how many of
 # them are linked, and whether the block is main text.
-_ARTICLE = [("article h1", 7, 0, 1), ("article p", 42, 0, 1), ("article p", 3, 0, 1), ("article h2", 4, 0, 1), ("article p", 65, 4, 1), ("article ul li", 6, 0, 1), ("article ul li", 2, 2, 1), ("article p", 1, 0, 1), ("article blockquote p", 18, 0, 1), ("article p", 120, 0, 1)]
+_ARTICLE = [("article h1", 7, 0, 1), ("article p", 42, 0, 1), ("article p", 3, 0, 1), ("article h2", 4, 0, 1), ("article p", 65, 4, 1), ("article ul li", 6, 0, 1), ("article ul li", 2, 2, 1), ("article ul li", 3, 3, 1), ("article p", 4, 0, 1), ("article p", 1, 0, 1), ("article blockquote p", 18, 0, 1), ("article p", 120, 0, 1)]
 _DIVS = [("div.content h1", 6, 0, 1), ("div.content p", 38, 0, 1), ("div.content p", 2, 0, 1), ("div.content p", 80, 5, 1), ("div.content ul li", 5, 0, 1), ("div.content p", 9, 0, 1)]
 _PLAIN = [("h1", 6, 0, 1), ("div p", 55, 2, 1), ("div p", 31, 0, 1), ("div p", 12, 0, 1), ("div p", 74, 3, 1), ("div h2", 4, 0, 1), ("div p", 48, 0, 1)]
 _MENU = [("nav ul li", 1, 1, 0), ("nav ul li", 2, 2, 0), ("nav ul li", 1, 1, 0), ("nav p", 9, 0, 0)]

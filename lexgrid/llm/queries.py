@@ -25,6 +25,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(prepare(spark), sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece)}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm import quality
+
+    return quality.report(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op6_quality)}
 
 SQL: dict[str, str] = {}
