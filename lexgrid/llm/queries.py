@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexgrid.llm import mixing
 from lexgrid.runtime import prepare, table
 
 
@@ -31,6 +32,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op6_quality)}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(prepare(spark), sf_dir, "documents"))
 
-SQL: dict[str, str] = {}
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm import secrets
+
+    return secrets.scan(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op6_quality, op7_mixing, op10_secrets)}
+
+SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
