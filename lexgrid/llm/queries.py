@@ -26,6 +26,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(prepare(spark), sf_dir, "documents"), tokenizer_path())
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm import substring_dedup
+
+    return substring_dedup.deduplicate(table(prepare(spark), sf_dir, "documents"), digests=True)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm import pii
 
@@ -48,6 +54,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op5_pii, op6_quality, op7_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op4_substring_dedup, op5_pii, op6_quality, op7_mixing, op10_secrets)}
 
 SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
