@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexgrid.llm import mixing
 from lexgrid.runtime import prepare, table
@@ -48,12 +49,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(prepare(spark), sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm import ann
+
+    return ann.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm import secrets
 
     return secrets.scan(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op4_substring_dedup, op5_pii, op6_quality, op7_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op4_substring_dedup, op5_pii, op6_quality, op7_mixing, op8_ann, op10_secrets)}
 
 SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
