@@ -55,12 +55,18 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm import jaccard
+
+    return jaccard.join(table(prepare(spark), sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm import secrets
 
     return secrets.scan(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op4_substring_dedup, op5_pii, op6_quality, op7_mixing, op8_ann, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op4_substring_dedup, op5_pii, op6_quality, op7_mixing, op8_ann, op9_jaccard_join, op10_secrets)}
 
 SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
