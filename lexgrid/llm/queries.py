@@ -21,6 +21,12 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(prepare(spark), sf_dir, "pages"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm import langid
+
+    return langid.identify(table(prepare(spark), sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm import pieces
 
@@ -67,6 +73,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_sentencepiece, op4_substring_dedup, op5_pii, op6_quality, op7_mixing, op8_ann, op9_jaccard_join, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_langid, op3_sentencepiece, op4_substring_dedup, op5_pii, op6_quality, op7_mixing, op8_ann, op9_jaccard_join, op10_secrets)}
 
 SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
