@@ -69,7 +69,8 @@ def section_score(golden: Column, found: Column) -> Column:
 
 def match_languages(corpora: DataFrame, folders: DataFrame) -> DataFrame:
     """key, file, and one text a language: documents of one file in folders that mean the same. folders: lang, folder, key."""
-    return corpora.join(folders, ["lang", "folder"]).groupBy("key", "file").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("lang", "folder")))).alias("by_lang")).where(F.size("by_lang") > 1)
+    one = corpora.join(folders, ["lang", "folder"]).groupBy("key", "file", "lang").agg(F.min("folder").alias("folder"))
+    return one.groupBy("key", "file").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("lang", "folder")))).alias("by_lang")).where(F.size("by_lang") > 1)
 
 
 def phrase_counts(df: DataFrame, key: str, phrases: str, n: int = 2) -> DataFrame:

@@ -232,7 +232,7 @@ def body_start(lines: Column) -> Column:
 
 def document_class(text: Column, whole: bool = True) -> Column:
     """Base, Modification or Unknown. whole counts marks in the whole body, numbered law lists included; else its first 75 lines first."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     start = body_start(lines)
     body = F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
 
