@@ -6,12 +6,12 @@ A passage counts as repeated in a document if its first `window` words also stan
    these anchors (about one word in 22), and windows that are equal share an anchor. One aggregation finds the anchors
    that occur in several documents; all others are dropped, with no repeat lost.
 2. Groups. A group is the suffixes that start with one anchor prefix, each with the words of its windows around it.
-   Prefixes are of variable length: an anchor with more than `group_size` suffixes is refined to the full window,
-   where a tree is one node and the node's least document is found by an aggregation and joined back. So no task ever
-   holds more than `group_size` suffixes of a prefix, and a passage in a third of all documents is no hot group.
+   A prefix with more than `group_size` suffixes, such as a passage in a third of all documents, is dealt into parts of
+   that size by document, so no task holds more of a prefix.
 3. Trees. The suffixes of some groups, up to a memory budget, form one generalized suffix tree cut at depth `window`,
    kept in its array form: ranks of all suffixes by doubling depth. Equal ranks at depth `window` are an internal
-   node; its leaves are the places of a repeat and the least document among them keeps it.
+   node; its leaves are the places of a repeat and the least document among them keeps it. Trees of one prefix's
+   parts pass on one leaf for each node, with a 128-bit hash of its window, and these few meet in an aggregation.
 4. Removal. Overlapping windows of a document merge into spans, which are joined to its text once.
 """
 
@@ -22,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.words import Group, grams, groups, mix
+from lexgrid.llm.words import groups, mix
 from lexgrid.runtime import durable
 
 WINDOW = 50
 #: Words of an anchor prefix.
 PREFIX = 8
-#: Suffixes of one prefix that a tree may take; more are refined to prefixes of the full window.
+#: Suffixes of one prefix in a part, on average.
 GROUP_SIZE = 2000
 #: Words that the trees built at once may hold.
 TREE_WORDS = 400_000
@@ -86,82 +87,68 @@ def anchor_rows(df: DataFrame, window: int, prefix: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, anchor long")
 
 
+SEGMENT = "anchor long, part int, parts int, doc_id long, place int, lead int, words binary"
+
+
 def segments(df: DataFrame, window: int, prefix: int) -> DataFrame:
-    """The places of shared anchors as suffixes to group, from rows of doc_id, text, small, large.
+    """The places of shared anchors as suffixes to group, from rows of doc_id, text, shared (anchors with their numbers of parts).
 
-    small and large are a row's shared anchors, by the size of their group. A small one gives a row with the words
-    around it; a large one a row for each of its windows, with a 128-bit hash of the window in place of its words.
+    A suffix comes with the words of all windows it is the anchor of: `lead` windows, the first at word `place`.
     """
 
     def run(batches):
         for batch in batches:
             ids = np.array(batch.column(0))
-            lists = [batch.column(2), batch.column(3)]
             for g in groups(batch.column(1)):
-                h = g.hashes()
-                start, at, anchor = anchors(h, g.doc, window, prefix)
+                start, at, anchor = anchors(g.hashes(), g.doc, window, prefix)
                 if not len(at):
                     continue
-                first = g.first_word()
-                signed, row = _signed(anchor), g.doc[at]
-                is_small, is_large = (_member(signed, row, lists[i], g) for i in (0, 1))
-                out = {k: [] for k in ("anchor", "doc_id", "place", "lead", "words", "high")}
-                heads = np.flatnonzero(_first(at))
-                tails = np.append(heads[1:], len(at))
-                raw = g.data
-                for i, j in zip(heads, tails):
-                    if is_small[i]:
-                        lo, hi = start[i], start[j - 1] + window
-                        out["anchor"].append(signed[i])
-                        out["doc_id"].append(ids[g.lo + row[i]])
-                        out["place"].append(lo - first[row[i]])
-                        out["lead"].append(j - i)
-                        out["words"].append(raw[g.start[lo] : g.end[hi - 1]].tobytes())
-                yield _batch(out["anchor"], out["doc_id"], out["place"], out["lead"], out["words"], [0] * len(out["anchor"]))
-                big = np.flatnonzero(is_large)
-                if len(big):
-                    one, two = grams(h, g.doc, window), grams(g.hashes(1), g.doc, window)
-                    where = np.searchsorted(one[1], start[big])
-                    yield _batch(_signed(one[0][where]), ids[g.lo + row[big]], start[big] - first[row[big]], np.zeros(len(big), np.int32), pa.nulls(len(big), pa.binary()), _signed(two[0][where]))
-
-    return df.mapInArrow(run, "anchor long, doc_id long, place int, lead int, words binary, high long")
-
-
-def _member(anchor: np.ndarray, row: np.ndarray, lists: pa.Array, g: Group) -> np.ndarray:
-    """Whether each anchor is in its row's list."""
-    part = lists.slice(g.lo, g.n)
-    lengths = np.array([0 if x is None else len(x) for x in part.to_pylist()]) if part.null_count else np.diff(np.array(part.offsets))
-    values = np.array(part.flatten()).astype(np.int64)
-    owner = np.repeat(np.arange(g.n), lengths)
-    have = np.sort(mix(values.view(np.uint64)) ^ mix(owner.astype(np.uint64) + np.uint64(1)))
-    want = mix(anchor.view(np.uint64)) ^ mix(row.astype(np.uint64) + np.uint64(1))
-    at = np.searchsorted(have, want)
-    return (at < len(have)) & (have[np.minimum(at, max(len(have) - 1, 0))] == want) if len(have) else np.zeros(len(want), bool)
-
-
-def _batch(anchor, doc, place, lead, words, high) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-    names = ("anchor", "doc_id", "place", "lead", "words", "high")
-    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip((anchor, doc, place, lead, words, high), kinds)], names=list(names))
-
-
-def repeats(words: list[list[bytes]], doc: np.ndarray, lead: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of suffixes given as segments: the (segment, window) pairs that repeat a window of a smaller document.
+                head = np.flatnonzero(_first(at))
+                lead = np.diff(np.append(head, len(at)))
+                row = g.doc[at[head]]
+                parts = _parts(_signed(anchor[head]), row, batch.column(2).slice(g.lo, g.n), g.n)
+                keep = np.flatnonzero(parts)
+                lo, row, lead, parts = start[head[keep]], row[keep], lead[keep], parts[keep]
+                hi = lo + lead - 1 + window
+                raw, doc = g.data.tobytes(), ids[g.lo + row]
+                words = [raw[a:b] for a, b in zip(g.start[lo].tolist(), g.end[hi - 1].tolist())]
+                part = (mix(doc.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
+                place = lo - g.first_word()[row]
+                columns = (_signed(anchor[head[keep]]), part, parts.astype(np.int32), doc, place.astype(np.int32), lead.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], names=["anchor", "part", "parts", "doc_id", "place", "lead", "words"])
+
+    return df.mapInArrow(run, SEGMENT)
+
+
+def _parts(anchor: np.ndarray, row: np.ndarray, lists: pa.Array, n: int) -> np.ndarray:
+    """Of each anchor the number of parts that its row's list gives it; 0 where the list doesn't have it."""
+    lengths = np.diff(np.array(lists.offsets))
+    entries = lists.flatten()
+    if not len(entries):
+        return np.zeros(len(anchor), np.int64)
+    owner = np.repeat(np.arange(n), lengths)
+    key = lambda a, r: mix(a.view(np.uint64)) ^ mix(r.astype(np.uint64) + np.uint64(1))
+    have, parts = key(np.array(entries.field("anchor")).astype(np.int64), owner), np.array(entries.field("parts"))
+    order = np.argsort(have)
+    have, parts, want = have[order], parts[order], key(anchor, row)
+    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+    return np.where(have[at] == want, parts[at], 0)
+
+
+def nodes(words: list[list[bytes]], lead: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of suffixes given as segments: each window as (segment, place in it, its node at depth `window`).
 
     Segment i holds `lead[i]` windows, each starting one word later. The ranks of all suffixes at depth 1, 2, 4, ... up
-    to `window` are those of the suffix tree cut at that depth; equal ranks at depth `window` are one node.
+    to `window` are those of the suffix tree cut at that depth; equal ranks are one node.
     """
     lengths = np.array([len(w) for w in words])
     table: dict[bytes, int] = {}
     flat = np.array([table.setdefault(w, len(table)) for segment in words for w in segment], np.int64)
     offset = np.concatenate([[0], np.cumsum(lengths)])
-    # A separator ends each segment, so that no suffix runs into the next: ids below zero differ from all others.
+    # A separator of its own ends each segment, so that no suffix runs into the next.
     rank = np.empty(len(flat) + len(words), np.int64)
-    place = np.arange(len(flat)) + np.repeat(np.arange(len(words)), lengths)
-    rank[:] = -1
-    rank[place] = flat + 1
-    ends = offset[1:] + np.arange(len(words))
-    rank[ends] = len(table) + 1 + np.arange(len(words))
+    rank[np.arange(len(flat)) + np.repeat(np.arange(len(words)), lengths)] = flat + 1
+    rank[offset[1:] + np.arange(len(words))] = len(table) + 1 + np.arange(len(words))
     depth = 1
     while depth < window:
         step = min(depth, window - depth)
@@ -173,46 +160,57 @@ def repeats(words: list[list[bytes]], doc: np.ndarray, lead: np.ndarray, group:
         depth += step
     segment = np.repeat(np.arange(len(words)), lead)
     which = np.arange(len(segment)) - np.repeat(np.cumsum(lead) - lead, lead)
-    node = rank[offset[segment] + segment + which]
-    least = np.full(len(rank), np.iinfo(np.int64).max)
-    np.minimum.at(least, node, doc[segment])
-    found = least[node] < doc[segment]
-    return segment[found], which[found]
+    return segment, which, rank[offset[segment] + segment + which]
 
 
 def tree_spans(df: DataFrame, window: int, tree_words: int = TREE_WORDS) -> DataFrame:
-    """doc_id, start, stop (words) of the repeats among small groups; df holds whole groups in each partition, in order."""
+    """doc_id, start, stop (words) of repeats within parts, and low, high: hashes of the leaves that parts pass on.
+
+    df holds whole parts in each partition, in order. A row with hashes is no repeat yet.
+    """
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        anchor, doc, place, lead, words = zip(*rows)
-        doc, place, lead = np.array(doc), np.array(place), np.array(lead)
-        segment, which = repeats(list(words), doc, lead, np.array(anchor), window)
-        if not len(segment):
-            return
-        start = place[segment] + which
-        # Windows that follow each other in a segment are one span.
-        head = np.ones(len(start), bool)
-        head[1:] = (segment[1:] != segment[:-1]) | (start[1:] != start[:-1] + 1)
-        at = np.flatnonzero(head)
-        last = np.append(at[1:], len(start)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[segment[at]], pa.int64()), pa.array(start[at], pa.int32()), pa.array(start[last] + window, pa.int32())], names=["doc_id", "start", "stop"])
+        parts, doc, place, lead, words = (np.array(x) if i < 4 else list(x) for i, x in enumerate(list(zip(*rows))[2:]))
+        segment, which, node = nodes(words, lead, window)
+        least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, doc[segment])
+        found = np.flatnonzero(least[node] < doc[segment])
+        if len(found):
+            own, start = segment[found], place[segment[found]] + which[found]
+            # Windows that follow each other in a segment are one span.
+            head = np.ones(len(start), bool)
+            head[1:] = (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)
+            at = np.flatnonzero(head)
+            last = np.append(at[1:], len(start)) - 1
+            yield _spans(doc[own[at]], start[at], start[last] + window)
+        passed = np.flatnonzero((parts[segment] > 1) & (least[node] == doc[segment]))
+        for i in range(0, len(passed), 50_000):
+            some = passed[i : i + 50_000]
+            hashes = [xxhash.xxh3_128_digest(b" ".join(words[s][w : w + window])) for s, w in zip(segment[some].tolist(), which[some].tolist())]
+            start = place[segment[some]] + which[some]
+            yield _spans(doc[segment[some]], start, start + window, np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2))
 
     def run(batches):
         rows, held = [], 0
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for anchor, doc, place, lead, words in zip(*columns):
-                if held > tree_words and rows[-1][0] != anchor:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for anchor, part, parts, doc, place, lead, words in zip(*columns):
+                if held > tree_words and rows[-1][:2] != (anchor, part):
                     yield from flush(rows)
                     rows, held = [], 0
                 split = words.split()
-                rows.append((anchor, doc, place, lead, split))
+                rows.append((anchor, part, parts, doc, place, lead, split))
                 held += len(split)
         yield from flush(rows)
 
-    return df.select("anchor", "doc_id", "place", "lead", "words").mapInArrow(run, "doc_id long, start int, stop int")
+    return df.mapInArrow(run, "doc_id long, start int, stop int, low long, high long")
+
+
+def _spans(doc, start, stop, hashes: np.ndarray | None = None) -> pa.RecordBatch:
+    pair = [pa.nulls(len(doc), pa.int64())] * 2 if hashes is None else [pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), *pair], names=["doc_id", "start", "stop", "low", "high"])
 
 
 def spans(df: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_size: int = GROUP_SIZE) -> tuple[DataFrame, DataFrame]:
@@ -221,19 +219,16 @@ def spans(df: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_size:
     source = df.select("doc_id", "text")
     places = anchor_rows(source.where("doc_id is not null"), window, prefix)
     count = places.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    shared = durable(count.where("least < most").select("anchor", (F.col("n") > group_size).alias("large")))
-    mine = (
-        places.join(shared, "anchor")
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.when(~F.col("large"), F.col("anchor"))).alias("small"), F.collect_set(F.when(F.col("large"), F.col("anchor"))).alias("large"))
-    )
+    shared = durable(count.where("least < most").select("anchor", F.ceil(F.col("n") / group_size).cast("int").alias("parts")))
+    mine = places.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "parts")).alias("shared"))
     texts = source.repartition(partitions, "doc_id")
-    placed = durable(segments(texts.join(mine, "doc_id").select("doc_id", "text", "small", "large"), window, prefix))
-    small = placed.where("words is not null").repartition(partitions, "anchor").sortWithinPartitions("anchor")
-    windows = placed.where("words is null").select("anchor", "high", "doc_id", "place")
-    least = windows.groupBy("anchor", "high").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor", "high", "least")
-    large = windows.join(least, ["anchor", "high"]).where("doc_id > least").select("doc_id", F.col("place").alias("start"), (F.col("place") + window).cast("int").alias("stop"))
-    found = tree_spans(small, window).unionByName(large).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    placed = durable(segments(texts.join(mine, "doc_id").select("doc_id", "text", "shared"), window, prefix))
+    grouped = placed.repartition(partitions, "anchor", "part").sortWithinPartitions("anchor", "part")
+    trees = durable(tree_spans(grouped, window))
+    passed = trees.where("low is not null")
+    least = passed.groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("low", "high", "least")
+    across = passed.join(least, ["low", "high"]).where("doc_id > least").select("doc_id", "start", "stop")
+    found = trees.where("low is null").select("doc_id", "start", "stop").unionByName(across).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     return texts, found
 
 
