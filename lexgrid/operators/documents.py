@@ -230,11 +230,11 @@ def body_start(lines: Column) -> Column:
     return F.when(F.size(ends) > 0, F.get(ends, F.lit(0)) + 1).when(n_words(F.get(lines, F.lit(0))) > 10, 0).otherwise(1)
 
 
-def document_class(text: Column, whole: bool = True) -> Column:
-    """Base, Modification or Unknown. whole counts marks in the whole body, numbered law lists included; else its first 75 lines first."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    start = body_start(lines)
-    body = F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
+def document_classes(df: DataFrame, text: str = "text", whole: bool = True, out: str = "class") -> DataFrame:
+    """df with Base, Modification or Unknown. whole counts marks in the whole body, numbered law lists included; else its first 75 lines first.
+
+    Lines and body are columns of their own, so that a text is split once.
+    """
 
     def cascade(part: Column, lists: bool, last: bool) -> Column:
         roman, article, section = _count(part, ROMAN_LINE), _count(part, ARTICLE_LINE), _count(part, SECTION_LINE)
@@ -248,11 +248,11 @@ def document_class(text: Column, whole: bool = True) -> Column:
         rule = rule.when(base, "Base")
         return rule.when(roman > 0, "Modification") if lists else rule
 
-    if whole:
-        result = F.coalesce(cascade(body, True, True), F.lit("Unknown"))
-    else:
-        result = F.coalesce(cascade(F.slice(body, 1, 75), False, False), cascade(body, False, True), F.lit("Unknown"))
-    return F.when(F.size(lines) == 0, "Unknown").otherwise(result)
+    lines, body = F.col("_lines"), F.col("_body")
+    rows = df.withColumn("_lines", F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")).withColumn("_start", body_start(lines))
+    rows = rows.withColumn("_body", F.slice(lines, F.col("_start") + 1, F.greatest(F.size(lines) - F.col("_start"), F.lit(0))))
+    result = cascade(body, True, True) if whole else F.coalesce(cascade(F.slice(body, 1, 75), False, False), cascade(body, False, True))
+    return rows.withColumn(out, F.when(F.size(lines) == 0, "Unknown").otherwise(F.coalesce(result, F.lit("Unknown")))).drop("_lines", "_start", "_body")
 
 
 def footers(blocks: DataFrame, height: Column, threshold: float = 0.6) -> DataFrame:

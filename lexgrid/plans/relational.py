@@ -507,10 +507,10 @@ def universe(t: Tables) -> DataFrame:
     return refs.select(F.col("src_cat").alias("category")).union(refs.select("dst_cat")).distinct()
 
 
-@query("d17_category_matrix", "select src_cat, cast(coalesce(sum(n) filter (dst_cat = 'FRANCE'), 0) as bigint) as france, cast(coalesce(sum(n) filter (dst_cat = 'CHINA'), 0) as bigint) as china from refs group by 1")
+@query("d17_category_matrix", "select src_cat, cast(coalesce(sum(n) filter (dst_cat = 'NATION_1'), 0) as bigint) as first_nation, cast(coalesce(sum(n) filter (dst_cat = 'NATION_2'), 0) as bigint) as second_nation from refs group by 1")
 def matrix(t: Tables) -> DataFrame:
-    m = _refs(t).groupBy("src_cat").pivot("dst_cat", ["FRANCE", "CHINA"]).agg(F.sum("n")).fillna(0)
-    return m.select("src_cat", F.col("FRANCE").alias("france"), F.col("CHINA").alias("china"))
+    m = _refs(t).groupBy("src_cat").pivot("dst_cat", ["NATION_1", "NATION_2"]).agg(F.sum("n")).fillna(0)
+    return m.select("src_cat", F.col("NATION_1").alias("first_nation"), F.col("NATION_2").alias("second_nation"))
 
 
 @query("g20_circular_layout", "select n_name as category, round(cos(2 * pi() * (row_number() over (order by n_name) - 1) / count(*) over ()), 9) as x, round(sin(2 * pi() * (row_number() over (order by n_name) - 1) / count(*) over ()), 9) as y from nation", tables=False)
