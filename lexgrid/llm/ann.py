@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample; every vector is put into a leaf. A query walks the tree with a priority queue
 of branches, the one with the largest bound on an inner product first, and visits leaves until the number that
-calibration found enough for the target recall. Queries and vectors of a leaf meet in blocks of bounded size.
+calibration found enough for the target recall. Leaves are packed into shards of bounded size, a large leaf
+into several; a query is sent once to each shard that has a leaf of its visit.
 
 Equal vectors are searched once: only the k + 1 smallest ids of a vector can be among anybody's k nearest, since ties
 go to the smaller id, so copies beyond them are dropped from the candidates, which loses no result.
@@ -14,7 +15,8 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.runtime import durable
@@ -24,9 +26,11 @@ K = 20
 SAMPLE, CALIBRATION = 16_384, 256
 BRANCHES, LEAF, ITERATIONS = 8, 48, 8
 #: Recall to calibrate for, on held queries against brute force over the sample.
-RECALL = 0.97
-#: Vectors, and queries, that meet in one block.
-BLOCK = 4096
+RECALL = 0.95
+#: Vectors of a shard: small neighbouring leaves share one, a large leaf has several.
+SHARD = 8192
+#: Queries compared with a shard at once.
+QUERIES = 512
 
 
 class Tree:
@@ -208,54 +212,114 @@ def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector:
 
         return run
 
-    placed = vectors.mapInArrow(place(False), "v array<double>, ids array<long>, leaf long")
-    sized = durable(placed)
-    blocks = sized.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    queries = durable(asked.select("v").distinct().mapInArrow(place(True), "v array<double>, leaf array<long>"))
-    # Each visited leaf is met block by block: no task holds more than BLOCK vectors of a leaf, nor more than BLOCK queries at once.
-    visits = queries.select("v", F.explode("leaf").alias("leaf")).join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "v", F.lit(None).cast("array<long>").alias("ids"))
-    stored = sized.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), "v", "ids")
+    placed = durable(vectors.mapInArrow(place(False), "v array<double>, ids array<long>, leaf long"))
+    # One count a leaf comes to the driver; the tree bounds their number (lengths outside the sample add one each).
+    shards = pack({r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()})
+    located = spark.sparkContext.broadcast(shards)
+
+    def route(batches):
+        """A query's row for each shard of its leaves, with those leaves."""
+        visits = place(True)
+        for batch in visits(batches):
+            rows, shard, wanted = [], [], []
+            for i, leaves in enumerate(batch.column(1).to_pylist()):
+                by_shard: dict[int, list[int]] = {}
+                for leaf in leaves:
+                    first, number = located.value.get(leaf, (0, 0))
+                    for x in range(first, first + number):
+                        by_shard.setdefault(x, []).append(leaf)
+                rows += [i] * len(by_shard)
+                shard += by_shard
+                wanted += by_shard.values()
+            for lo in range(0, len(rows), 4096):  # the vectors are copied to each row, so rows go out in parts
+                part = slice(lo, lo + 4096)
+                v = batch.column(0).take(pa.array(rows[part], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[part], pa.int64()), v, pa.nulls(len(v), pa.list_(pa.int64())), pa.array(wanted[part], pa.list_(pa.int64()))], names=["shard", "v", "ids", "leaves"])
+
+    def store(batches):
+        for batch in batches:
+            shard = []
+            for leaf, v in zip(batch.column(2).to_pylist(), batch.column(0)):
+                first, number = located.value[leaf]
+                shard.append(first + (xxhash.xxh3_64_intdigest(np.array(v.values).tobytes()) % number if number > 1 else 0))
+            leaves = pa.ListArray.from_arrays(pa.array(range(len(batch) + 1), pa.int32()), batch.column(2).cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0), batch.column(1), leaves], names=["shard", "v", "ids", "leaves"])
+
+    row = "shard long, v array<double>, ids array<long>, leaves array<long>"
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = visits.unionByName(stored).repartition(partitions, "leaf", "block").sortWithinPartitions("leaf", "block", F.col("ids").isNull())
+    both = asked.select("v").distinct().mapInArrow(route, row).unionByName(placed.mapInArrow(store, row))
+    met = both.repartition(partitions, "shard").sortWithinPartitions("shard", F.col("ids").isNull())
 
     def meet(batches):
-        held: list = []
-        ids: list = []
-        key = None
+        """A shard's vectors come first and are held; its queries follow and are answered part by part."""
+        key, held, ids, leaf = None, [], [], []
         for batch in batches:
-            leaf, block = np.array(batch.column(0)), np.array(batch.column(1))
-            change = np.flatnonzero((leaf[1:] != leaf[:-1]) | (block[1:] != block[:-1])) + 1
-            for lo, hi in zip([0, *change], [*change, len(leaf)]):
-                if (leaf[lo], block[lo]) != key:
-                    key, held, ids = (leaf[lo], block[lo]), [], []
+            shard = np.array(batch.column(0))
+            change = np.flatnonzero(shard[1:] != shard[:-1]) + 1
+            for lo, hi in zip([0, *change], [*change, len(shard)]):
+                if shard[lo] != key:
+                    key, held, ids, leaf = shard[lo], [], [], []
                 part = batch.slice(lo, hi - lo)
-                stored_here = np.array(part.column(3).is_valid())
-                if stored_here.any():
-                    own = part.filter(pa.array(stored_here))
-                    held.append(_matrix(own.column(2)))
-                    ids += own.column(3).to_pylist()
-                if not stored_here.all() and held:
-                    held = [np.concatenate(held)]
-                    asking = part.filter(pa.array(~stored_here)).column(2)
-                    yield from _best(asking, held[0], ids, k)
+                is_vector = np.array(part.column(2).is_valid())
+                for n, at in _by_length(part.column(1)):
+                    own = part.take(pa.array(at[is_vector[at]]))
+                    if len(own):
+                        held.append((n, _matrix(own.column(1)), own.column(2).to_pylist(), np.array(own.column(3).flatten())))
+                    asking = part.take(pa.array(at[~is_vector[at]]))
+                    if len(asking):
+                        same = [x for x in held if x[0] == n]
+                        if len(same) > 1:
+                            same = [(n, np.concatenate([x[1] for x in same]), [i for x in same for i in x[2]], np.concatenate([x[3] for x in same]))]
+                            held = [x for x in held if x[0] != n] + same
+                        for i in range(0, len(asking) if same else 0, QUERIES):
+                            yield _best(asking.slice(i, QUERIES), *same[0][1:], k)
 
     found = met.mapInArrow(meet, "v array<double>, ids array<long>, scores array<double>")
     pairs = F.arrays_zip(F.col("scores").alias("score"), F.col("ids").alias("id"))
-    best = found.groupBy("v").agg(F.flatten(F.collect_list(pairs)).alias("all")).select("v", F.slice(F.array_sort(F.array_distinct(F.transform("all", lambda x: F.struct((-x["score"]).alias("minus"), x["id"].alias("id"))))), 1, k + 1).alias("best"))
+    best = found.groupBy("v").agg(F.flatten(F.collect_list(pairs)).alias("all")).select("v", F.slice(F.array_sort(F.transform("all", lambda x: F.struct((-x["score"]).alias("minus"), x["id"].alias("id")))), 1, k + 1).alias("best"))
     answered = asked.join(best, "v").select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("rank", "b"))
     return answered.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.minus")).alias("score"))
 
 
-def _best(asking: pa.Array, vectors: np.ndarray, ids: list, k: int):
-    """Of each asking vector the k + 1 best ids in a block of vectors: batches of v, ids, scores."""
-    q = _matrix(asking)
-    # einsum keeps one order of summation for every pair, so equal pairs score alike in any block.
-    scores = np.einsum("id,jd->ij", q, vectors)
+def pack(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """(first shard, number of shards) of each leaf: leaves in order share a shard up to SHARD vectors; a larger leaf has its own."""
+    out, shard, held = {}, 0, 0
+    for leaf, n in sorted(counts.items()):
+        if n > SHARD:
+            shard += held > 0
+            out[leaf] = (shard, -(-n // SHARD))
+            shard, held = shard + out[leaf][1], 0
+            continue
+        if held + n > SHARD:
+            shard, held = shard + 1, 0
+        out[leaf] = (shard, 1)
+        held += n
+    return out
+
+
+def _best(asking: pa.RecordBatch, vectors: np.ndarray, ids: list, leaf: np.ndarray, k: int) -> pa.RecordBatch:
+    """v, ids, scores: of each query the k + 1 best ids among the vectors of its leaves.
+
+    A matrix product picks the candidates; their scores are then summed pair by pair, so that a pair scores the same
+    in any shard.
+    """
+    q = _matrix(asking.column(1))
+    known, place = np.unique(leaf, return_inverse=True)
+    wanted = np.zeros((len(q), len(known)), bool)
+    lists = asking.column(3)
+    at = np.searchsorted(known, np.array(lists.flatten()))
+    owner = np.repeat(np.arange(len(q)), np.diff(np.array(lists.offsets)))
+    at = np.minimum(at, len(known) - 1)
+    good = known[at] == np.array(lists.flatten())
+    wanted[owner[good], at[good]] = True
+    rough = np.where(wanted[:, place], q @ vectors.T, -np.inf)
     keep = min(k + 1, len(vectors))
+    cut = np.partition(rough, rough.shape[1] - keep, axis=1)[:, rough.shape[1] - keep]
     out_ids, out_scores = [], []
-    for row in scores:
-        cut = np.partition(row, len(row) - keep)[len(row) - keep]
-        chosen = sorted((-row[j], i) for j in np.flatnonzero(row >= cut) for i in ids[j])[: k + 1]
-        out_ids.append([i for _, i in chosen])
+    for i, row in enumerate(rough):
+        near = np.flatnonzero((row >= cut[i] - 1e-9 * (1 + abs(cut[i]))) & (row > -np.inf)) if np.isfinite(cut[i]) else np.flatnonzero(row > -np.inf)
+        exact = (vectors[near] * q[i]).sum(1)
+        chosen = sorted((-s, x) for s, j in zip(exact.tolist(), near.tolist()) for x in ids[j])[: k + 1]
+        out_ids.append([x for _, x in chosen])
         out_scores.append([-s for s, _ in chosen])
-    yield pa.RecordBatch.from_arrays([asking, pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))], names=["v", "ids", "scores"])
+    return pa.RecordBatch.from_arrays([asking.column(1), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))], names=["v", "ids", "scores"])
