@@ -30,10 +30,10 @@ def markup_text(e: ET.Element, stop: set[str] = frozenset()) -> str:
             return
         if name in BLOCKS:
             out.append("\n")
-        out.append(x.text or "")
+        out.append((x.text or "").replace("\n", " "))
         for child in x:
             walk(child, False)
-            out.append(child.tail or "")
+            out.append((child.tail or "").replace("\n", " "))
         if name in BLOCKS:
             out.append("\n")
 
