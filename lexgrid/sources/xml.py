@@ -87,9 +87,26 @@ def text(df: DataFrame, xml: str = "xml", out: str = "text") -> DataFrame:
     return df.withColumn(out, run(F.col(xml)))
 
 
+def parse_metadata(source: str | None) -> dict:
+    """law_url and decision_date: of several places in the metadata the first that has a value; none in broken XML."""
+    try:
+        root = ET.fromstring(source or "")
+    except ET.ParseError:
+        return {"law_url": None, "decision_date": None}
+    every = [(_name(e), e) for e in root.iter()]
+    work = [(_name(e), e) for n, e in every if n == "FRBRWork" for e in e.iter()]
+    dates = [e for n, e in work if n == "FRBRdate"]
+    urls = [e.get("value") for n, e in work if n == "FRBRuri"] + [e.get("value") for n, e in work if n == "FRBRthis"] + [e.get("value") for n, e in every if n == "FRBRuri"]
+    days = [e.get("date") for e in dates if e.get("name") == "jolux:dateDocument"] + [e.get("date") for e in dates] + [e.get("date") for n, e in every if n == "docDate"]
+    return {"law_url": next(filter(None, urls), None), "decision_date": next(filter(None, days), None)}
+
+
 def metadata(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """df with law_url and decision_date: the first of several paths that has a value. Namespaces are cut off first."""
-    plain = F.regexp_replace(F.regexp_replace(xml, r'\sxmlns(:\w+)?="[^"]*"', ""), r"(</?)\w+:", "$1")
-    first = lambda *paths: F.coalesce(*[F.nullif(F.xpath_string(F.col("_x"), F.lit(p)), F.lit("")) for p in paths])
-    rows = df.withColumn("_x", plain)
-    return rows.withColumn("law_url", first("//FRBRWork/FRBRuri/@value", "//FRBRWork/FRBRthis/@value", "//FRBRExpression/FRBRuri/@value")).withColumn("decision_date", first("//FRBRWork/FRBRdate[@name='jolux:dateDocument']/@date", "//FRBRWork/FRBRdate/@date", "//docDate/@date")).drop("_x")
+    """df with law_url and decision_date; Spark's own path functions fail a job at the first broken file, so the tree is read here."""
+
+    @F.pandas_udf("law_url string, decision_date string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([parse_metadata(x) for x in part], columns=["law_url", "decision_date"])
+
+    return df.withColumn("_m", run(F.col(xml))).select(*df.columns, "_m.law_url", "_m.decision_date")
