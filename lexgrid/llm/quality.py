@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs come from labelled documents, with a guaranteed bound on how many good ones they reject.
 
-A rule rejects a document whose score (share of repeated words, of symbols, of repeated lines, ...) is above a cutoff.
-For each stratum and rule the labelled good documents above each cutoff of a fixed grid are counted. The exact
-binomial (Clopper-Pearson) upper bound of the rate of rejected good documents must be at most `risk` at confidence
-1 - `alpha` / (strata x rules): Bonferroni's correction over strata and rules. Within one rule the cutoffs are tested
-from the mildest on and testing stops at the first that fails (fixed-sequence testing), so the grid needs no further
-correction. A rule without an accepted cutoff rejects nothing.
+A rule rejects a document whose score (share of repeated words, of symbols, of repeated lines, ...) is at or above a
+cutoff. For each stratum and rule the labelled good documents above each cutoff of a fixed grid are counted. The exact
+binomial (Clopper-Pearson) upper bound of the rate of rejected good documents must be at most `risk` / rules, so that
+all rules together reject at most `risk` of a stratum's good documents, at confidence 1 - `alpha` / (strata x rules):
+Bonferroni's correction over strata and rules. Within one rule the cutoffs are tested from the mildest on and testing
+stops at the first that fails (fixed-sequence testing), so the grid needs no further correction. Of the accepted
+cutoffs the one with the best balance of bad and good documents rejected is taken, the mildest of equal ones; a rule
+without gain rejects nothing.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from lexgrid.runtime import durable
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-RISK = 0.02
-ALPHA = 0.05
+#: Most good documents of a stratum that may be rejected, and the probability with which any bound may fail.
+RISK, ALPHA = 0.05, 0.05
+#: Bad documents that must be rejected for each good one.
+COST = 5
 #: Cutoffs, the mildest first: a document is rejected if its score is at least the cutoff.
 GRID = [round(1 - i / 50, 2) for i in range(50)]
 RULES = ("repeat", "symbols", "dup_lines", "few_distinct", "long_words")
@@ -127,14 +131,16 @@ def upper_bound(rejected: int, n: int, delta: float) -> float:
     return high
 
 
-def choose(above: dict[tuple, int], n: int, tests: int, risk: float, alpha: float) -> float | None:
-    """The strictest cutoff that passes. above: of the n labelled good documents, how many score at least GRID[i], by i."""
-    found = None
+def choose(good: dict[int, int], bad: dict[int, int], n: int, tests: int, risk: float, alpha: float) -> float | None:
+    """The cutoff to use, or None. good, bad: labelled documents by the first grid step at which they are rejected; n: good ones in all."""
+    found, best = None, 0
+    lost = caught = 0
     for i, cutoff in enumerate(GRID):
-        rejected = above.get(i, 0)
-        if rejected > risk * n or upper_bound(rejected, n, alpha / tests) > risk:
+        lost, caught = lost + good.get(i, 0), caught + bad.get(i, 0)
+        if lost > risk * n or upper_bound(lost, n, alpha / tests) > risk:
             break
-        found = cutoff
+        if caught - COST * lost > best:
+            found, best = cutoff, caught - COST * lost
     return found
 
 
@@ -142,22 +148,18 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     """{(stratum, rule): cutoff} from the labelled documents that the base rules keep.
 
     A document with several labels counts as good if any says so. What comes to the driver is one count for each
-    stratum, rule and cutoff.
+    stratum, rule, cutoff and label.
     """
-    good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    rows = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
+    label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    rows = measured.where(~base_failed()).join(label, "doc_id")
     steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil((1 - score(r)) * 50 - 1e-9).cast("int").alias("step")) for r in RULES])
-    counted = rows.select(F.col(stratum).alias("stratum"), F.inline(steps)).groupBy("stratum", "rule", "step").count().collect()
+    counted = rows.select(F.col(stratum).alias("stratum"), "good", F.inline(steps)).groupBy("stratum", "rule", "step", "good").count().collect()
     found: dict = {}
     for r in counted:
-        found.setdefault((r["stratum"], r["rule"]), {})[r["step"]] = r["count"]
+        found.setdefault((r["stratum"], r["rule"]), ({}, {}))[r["good"]][r["step"]] = r["count"]
     chosen = {}
-    for key, by_step in found.items():
-        n, sums, total = sum(by_step.values()), {}, 0
-        for i in range(len(GRID)):
-            total += by_step.get(i, 0)
-            sums[i] = total
-        cutoff = choose(sums, n, len(found), risk, alpha)
+    for key, (bad, good) in found.items():
+        cutoff = choose(good, bad, sum(good.values()), len(found), risk / len(RULES), alpha)
         if cutoff is not None:
             chosen[key] = cutoff
     return chosen

@@ -48,15 +48,15 @@ def test_bound_is_the_exact_binomial_one():
 def test_cutoffs_reject_bad_and_keep_good(spark):
     rng = random.Random(3)
     rows, labels = [], []
-    for i in range(900):
+    for i in range(2200):
         words = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 9) + str(rng.randrange(999)) for _ in range(40)]
         bad = i % 5 == 0
         rows.append((i, " ".join(w + "%%%" if bad else w for w in words), "en" if i % 2 else None, "x"))
-        if i < 800:
+        if i < 2100:
             labels += [(i, 0 if bad else 1)] * (2 if i % 7 == 0 else 1)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
     got = quality.report(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
-    assert len(got) == 900
+    assert len(got) == 2200
     assert all(not r.kept for r in got if r.doc_id % 5 == 0)
     good = [r.kept for r in got if r.doc_id % 5]
     assert sum(good) >= 0.98 * len(good)
