@@ -3,7 +3,9 @@
 Contract matches (email, ip, card, phone) are the seeds. Every token with a digit or an @ is an instance; the words
 before it are its lexical patterns. Spark scores the bipartite pattern-instance graph: a pattern's confidence is the
 mean score of its distinct instances, an instance's score the noisy-or of its patterns' confidences, seeds staying at
-one. After a few rounds the instances that confident patterns introduce are reported as identifiers, seen or unseen.
+one. A pattern must also be specific: most of its occurrences anywhere in the corpus introduce an instance, so words
+of ordinary prose don't count. After a few rounds the instances that confident patterns introduce are reported as
+identifiers, seen or unseen.
 """
 
 from __future__ import annotations
@@ -11,12 +13,13 @@ from __future__ import annotations
 import bisect
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.words import groups
+from lexgrid.llm.words import Group, grams, groups, mix
 from lexgrid.runtime import durable
 
 # Kinds in the order in which they are listed.
@@ -25,6 +28,10 @@ BASE = KINDS[:4]
 
 #: A pattern counts if it introduces so many distinct seeds and its confidence reaches the least one.
 SEEDS, CONFIDENCE, ROUNDS = 5, 0.7, 3
+#: Least share of a pattern's occurrences in the corpus that introduce an instance.
+SPECIFIC = 0.5
+#: Patterns whose occurrences are counted in one pass.
+PASS_PATTERNS = 100_000
 #: Rows up to which found spans are sent to all tasks instead of shuffling the texts to them.
 SMALL_ROWS = 50_000
 
@@ -75,8 +82,23 @@ def spans_text(spans: list[tuple[int, str, int]]) -> str:
     return ",".join([f"{k}:{s}:{e}" for s, k, e in spans])
 
 
-def instances(text: str, base: list[tuple[int, str, int]]) -> list[dict]:
-    """Seeds and other tokens with a digit or an @, each with the words before it as patterns."""
+def contexts(g: Group) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a group the hashes of its patterns: the word before it, and the two before it. 0 where there are none."""
+    h = g.hashes()
+    one, two = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    first = np.ones(len(h), bool)
+    first[1:] = g.doc[1:] != g.doc[:-1]
+    one[1:] = np.where(first[1:], 0, mix(h[:-1] + np.uint64(1)).view(np.int64))
+    pair, at = grams(h, g.doc, 2)
+    at = at + 2
+    inside = at < len(h)
+    inside[inside] = g.doc[at[inside]] == g.doc[at[inside] - 2]
+    two[at[inside]] = pair[inside].view(np.int64)
+    return one, two
+
+
+def instances(text: str, base: list[tuple[int, str, int]], one: np.ndarray, two: np.ndarray) -> list[dict]:
+    """Seeds and other tokens with a digit or an @, each with its patterns. one, two: the contexts of the text's words."""
     if not base and not _DIGIT.search(text) and "@" not in text:
         return []
     spans, cover = [(s, e, True) for s, _, e in base], iter([*base, (len(text) + 1, "", len(text) + 1)])
@@ -95,14 +117,13 @@ def instances(text: str, base: list[tuple[int, str, int]]) -> list[dict]:
     ends = [h[1] for h in history]
     for s, e, seed in sorted(spans):
         i = bisect.bisect_right(ends, s)
-        words = [text[a:b].lower() for a, b in history[max(0, i - 2) : i]]
-        words = ["", "", *words][-2:] if len(words) < 2 else words
-        tokens.append({"start": s, "stop": e, "seed": seed, "instance": xxhash.xxh3_64_intdigest(text[s:e]) - (1 << 63), "patterns": [f"1 {words[1][-40:]}", f"2 {words[0][-40:]} {words[1][-40:]}"] if words[1] else []})
+        patterns = [int(x[i]) for x in (one, two) if i < len(x) and x[i]]
+        tokens.append({"start": s, "stop": e, "seed": seed, "instance": xxhash.xxh3_64_intdigest(text[s:e]) - (1 << 63), "patterns": patterns})
     return tokens
 
 
-_INSTANCE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
-_INSTANCE_DDL = "array<struct<start:int,stop:int,seed:boolean,instance:bigint,patterns:array<string>>>"
+_INSTANCE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+_INSTANCE_DDL = "array<struct<start:int,stop:int,seed:boolean,instance:bigint,patterns:array<bigint>>>"
 
 
 def scan(df: DataFrame) -> DataFrame:
@@ -112,18 +133,47 @@ def scan(df: DataFrame) -> DataFrame:
         for batch in batches:
             for g in groups(batch.column(1)):
                 ids, rows, bases, every = batch.column(0).slice(g.lo, g.n), [], [], []
-                for x in batch.column(1).slice(g.lo, g.n):
+                one, two = contexts(g)
+                first = g.first_word()
+                for i, x in enumerate(batch.column(1).slice(g.lo, g.n)):
                     text = x.as_py() or ""
                     base = base_spans(text)
                     rows.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
                     bases.append(spans_text(base))
-                    every.append(instances(text, base))
+                    every.append(instances(text, base, one[first[i] : first[i + 1]], two[first[i] : first[i + 1]]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.int64()), pa.array(bases, pa.string()), pa.array(every, pa.list_(_INSTANCE))], names=["doc_id", "row", "base", "found"])
 
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id long, row long, base string, found {_INSTANCE_DDL}")
 
 
-def score_patterns(scanned: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def occurrences(df: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, n: how often each of the patterns occurs before any word of the corpus.
+
+    The patterns go to the tasks as a sorted array of at most PASS_PATTERNS hashes; more take further passes.
+    """
+    passes = max(1, -(-patterns.count() // PASS_PATTERNS) * 2)
+    out = None
+    for i in range(passes if passes > 2 else 1):
+        own = patterns if passes <= 2 else patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i)
+        wanted = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in own.toLocalIterator()], np.int64)))
+
+        def run(batches, wanted=wanted):
+            have = wanted.value
+            counts = np.zeros(len(have), np.int64)
+            for batch in batches:
+                for g in groups(batch.column(0)) if len(have) else ():
+                    for context in contexts(g):
+                        at = np.minimum(np.searchsorted(have, context), len(have) - 1)
+                        counts += np.bincount(at[have[at] == context], minlength=len(have))
+            found = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(have[found]), pa.array(counts[found])], names=["pattern", "n"])
+
+        part = df.select("text").mapInArrow(run, "pattern long, n long")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
+def score_patterns(df: DataFrame, scanned: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS, specific: float = SPECIFIC) -> DataFrame:
     """pattern, confidence of the patterns that pass, after `rounds` of scoring the pattern-instance graph.
 
     Instances are distinct values, so copies of one document add nothing. Every round is two sums over edges; the
@@ -134,10 +184,11 @@ def score_patterns(scanned: DataFrame, seeds: int = SEEDS, confidence: float = C
         .select(F.explode("found").alias("f"))
         .select(F.explode("f.patterns").alias("pattern"), "f.instance", "f.seed")
         .groupBy("pattern", "instance")
-        .agg(F.max("seed").alias("seed"))
+        .agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     )
-    backed = F.sum(F.col("seed").cast("int")) >= seeds
-    edges = durable(edges.join(edges.groupBy("pattern").agg(backed.alias("backed")).where("backed").select("pattern"), "pattern", "left_semi"))
+    backed = durable(edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum("n").alias("hits")).where(F.col("seeds") >= seeds).select("pattern", "hits"))
+    good = durable(backed.join(occurrences(df, backed.select("pattern")), "pattern").where(F.col("hits") >= F.lit(specific) * F.col("n")).select("pattern"))
+    edges = durable(edges.join(good, "pattern", "left_semi"))
     score = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for k in range(rounds):
         patterns = edges.join(score, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"))
@@ -171,7 +222,7 @@ def find(df: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE) -> D
     give none. Other columns are not read.
     """
     scanned = durable(scan(df))
-    added = durable(discovered(scanned, score_patterns(scanned, seeds, confidence)))
+    added = durable(discovered(scanned, score_patterns(df, scanned, seeds, confidence)))
     rows = _with(scanned.select("doc_id", "row", "base"), added, added.count() <= SMALL_ROWS)
     start = lambda s: F.element_at(F.split(s, ":"), 2).cast("int")
     base = F.filter(F.split("base", ","), lambda s: s != "")
@@ -206,7 +257,7 @@ def mask_text(text: str, added: list[tuple[int, int]]) -> str:
 def mask(df: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
     """df with every span in `text` replaced by its kind; a column n_chars, if there, gets the new length. A null text stays null."""
     scanned = durable(scan(df))
-    added = durable(discovered(scanned, score_patterns(scanned, seeds, confidence)))
+    added = durable(discovered(scanned, score_patterns(df, scanned, seeds, confidence)))
     names = df.columns
     keyed = _with(df.withColumn("row", _row_of(df)) if added.head(1) else df.withColumn("row", F.lit(0).cast("long")), added, added.count() <= SMALL_ROWS)
 
