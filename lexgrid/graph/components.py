@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     under the least one (two partial aggregations and two joins over the edges), is written to the shared folder, and
     ends when nothing moves; the number of rounds grows with the logarithm of the longest path.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    pairs = durable(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"))
     nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     e = durable(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
