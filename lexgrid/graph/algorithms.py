@@ -130,9 +130,10 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def louvain(edges: DataFrame, levels: int = 6, moves: int = 6) -> DataFrame:
-    """id, part: multi-level local moves. Each round all nodes of one hash parity move to the neighbouring part of largest gain; then parts contract.
+    """id, part: multi-level local moves. Each round half of the nodes, by a hash of id and round, move to the part of largest gain among those of their resting neighbours; then parts contract.
 
-    Synchronous moves of half of the nodes keep pairs from swapping for ever; a round that lowers modularity is undone.
+    Only resting neighbours count as links of a new part, so nobody follows a node that leaves at the same time. A round
+    that doesn't raise modularity is undone; two in a row end a level.
     """
     weights = durable(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("w")))
     loops = None
@@ -148,24 +149,26 @@ def louvain(edges: DataFrame, levels: int = 6, moves: int = 6) -> DataFrame:
             degree = degree.join(loops, "id", "full_outer").select("id", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("k"))
         degree = durable(degree)
         parts = durable(degree.select("id", "k", F.col("id").alias("part")))
-        best, best_q = parts, _quality(both, parts, loops, total)
+        best_q, misses = _quality(both, parts, loops, total), 0
         for i in range(2 * moves):
+            moving = lambda c, i=i: F.pmod(F.xxhash64(c, F.lit(i)), F.lit(2)) == 0
             sums = parts.groupBy("part").agg(F.sum("k").alias("s"))
-            near = both.join(parts.select(F.col("id").alias("b"), "part"), "b").groupBy(F.col("a").alias("id"), F.col("part").alias("to")).agg(F.sum("w").alias("links"))
-            own = parts.join(sums, "part").select("id", "k", "part", (F.col("s") - F.col("k")).alias("rest"))
+            near = both.where(moving("a")).join(parts.select(F.col("id").alias("b"), "part"), "b").groupBy(F.col("a").alias("id"), F.col("part").alias("to"))
+            near = near.agg(F.sum("w").alias("all"), F.sum(F.when(moving("b"), 0.0).otherwise(F.col("w"))).alias("resting"))
+            own = parts.where(moving("id")).join(sums, "part").select("id", "k", "part", (F.col("s") - F.col("k")).alias("rest"))
             options = near.join(own, "id").join(sums.select(F.col("part").alias("to"), "s"), "to")
-            rest = F.when(F.col("to") == F.col("part"), F.col("rest")).otherwise(F.col("s"))
-            gain = F.col("links") - F.col("k") * rest / (2 * total)
-            stay = F.max(F.when(F.col("to") == F.col("part"), gain))
-            choice = options.groupBy("id").agg(F.max_by("to", F.struct(gain, -F.xxhash64("to"))).alias("to"), F.max(gain).alias("gain"), F.coalesce(stay, F.first(-F.col("k") * F.col("rest") / (2 * total))).alias("stay"))
-            moves_now = choice.where((F.col("gain") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2)).select("id", "to")
-            parts = durable(parts.join(moves_now, "id", "left").select("id", "k", F.coalesce("to", "part").alias("part")))
-            q = _quality(both, parts, loops, total)
+            home = F.col("to") == F.col("part")
+            gain = F.when(home, F.col("all")).otherwise(F.col("resting")) - F.col("k") * F.when(home, F.col("rest")).otherwise(F.col("s")) / (2 * total)
+            choice = options.groupBy("id").agg(F.max_by("to", F.struct(gain, -F.xxhash64("to"))).alias("to"), F.max(gain).alias("gain"), F.coalesce(F.max(F.when(home, gain)), F.first(-F.col("k") * F.col("rest") / (2 * total))).alias("stay"))
+            changed = choice.where(F.col("gain") > F.col("stay") + 1e-12).select("id", "to")
+            tried = durable(parts.join(changed, "id", "left").select("id", "k", F.coalesce("to", "part").alias("part")))
+            q = _quality(both, tried, loops, total)
             if q > best_q + 1e-9:
-                best, best_q = parts, q
-            elif i % 2 == 1:
-                break
-        parts = best
+                parts, best_q, misses = tried, q, 0
+            else:
+                misses += 1
+                if misses == 2:
+                    break
         before, after = parts.count(), parts.select("part").distinct().count()
         mapping = durable(mapping.join(parts.select(F.col("id").alias("part"), F.col("part").alias("to")), "part").select("id", F.col("to").alias("part")))
         if after == before:
