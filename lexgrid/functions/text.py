@@ -59,9 +59,14 @@ def mean(values: Column) -> Column:
 
 def deviation(values: Column) -> Column:
     """The sample standard deviation of an array, 0 for fewer than two values."""
-    m = mean(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-    return F.when(F.size(values) < 2, 0.0).otherwise(F.sqrt(squares / (F.size(values) - 1)))
+    # One pass: a mean within the fold's function would be taken again for every element.
+    sums = F.aggregate(
+        values,
+        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+        lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")),
+        lambda a: F.greatest(F.lit(0.0), a["q"] - a["s"] * a["s"] / F.size(values)) / F.greatest(F.size(values) - 1, F.lit(1)),
+    )
+    return F.when(F.size(values) < 2, 0.0).otherwise(F.sqrt(sums))
 
 
 def type_token_ratio(tokens: Column) -> Column:

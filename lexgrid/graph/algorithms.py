@@ -129,11 +129,11 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return sums.select((F.col("inside") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("q"))
 
 
-def louvain(edges: DataFrame, levels: int = 6, moves: int = 6) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 6, moves: int = 10) -> DataFrame:
     """id, part: multi-level local moves. Each round half of the nodes, by a hash of id and round, move to the part of largest gain among those of their resting neighbours; then parts contract.
 
     Only resting neighbours count as links of a new part, so nobody follows a node that leaves at the same time. A round
-    that doesn't raise modularity is undone; two in a row end a level.
+    that doesn't raise modularity is undone; four in a row end a level.
     """
     weights = durable(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("w")))
     loops = None
@@ -167,7 +167,7 @@ def louvain(edges: DataFrame, levels: int = 6, moves: int = 6) -> DataFrame:
                 parts, best_q, misses = tried, q, 0
             else:
                 misses += 1
-                if misses == 2:
+                if misses == 4:
                     break
         before, after = parts.count(), parts.select("part").distinct().count()
         mapping = durable(mapping.join(parts.select(F.col("id").alias("part"), F.col("part").alias("to")), "part").select("id", F.col("to").alias("part")))
