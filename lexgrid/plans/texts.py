@@ -208,7 +208,7 @@ def reference_codes(t: Tables) -> DataFrame:
 @query("f8_file_codes", "select n_nationkey as k, case when n_regionkey = 0 then 'FF' else 'RU' end || ' ' || (2000 + n_nationkey) || ' ' || (n_nationkey * 7) as code from nation", tables=False)
 def file_codes(t: Tables) -> DataFrame:
     many = F.when(F.col("n_nationkey") % 2 == 0, F.lit("12_34_")).otherwise(F.lit(""))
-    name = F.concat(F.lit("fedlex-"), 2000 + F.col("n_nationkey"), F.lit("-"), many, F.col("n_nationkey") * 7, F.lit(".pdf"))
+    name = F.concat(F.lit("act-"), 2000 + F.col("n_nationkey"), F.lit("-"), many, F.col("n_nationkey") * 7, F.lit(".pdf"))
     category = F.when(F.col("n_regionkey") == 0, "Concessioni").otherwise("Leggi")
     return t.nation.select(F.col("n_nationkey").alias("k"), ids.file_code(name, category, ["concessioni"]).alias("code"))
 

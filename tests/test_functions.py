@@ -23,7 +23,7 @@ def test_roman_and_uris(spark):
 
 def test_file_names(spark):
     get = lambda name, category: spark.createDataFrame([(name, category)], "n string, c string").select(ids.file_code(F.col("n"), F.col("c"), ["concessioni"])).first()[0]
-    assert get("fedlex-2001-12_34_56.pdf", "Leggi") == "RU 2001 56"
+    assert get("act-2001-12_34_56.pdf", "Leggi") == "RU 2001 56"
     assert get("x-1999-7.pdf", "CONCESSIONI") == "FF 1999 7"
     assert get("other.pdf", "Leggi") == "other.pdf"
 
