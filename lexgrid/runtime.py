@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
             found = current.get()
         else:
             found = tempfile.mkdtemp(prefix="lexgrid-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(found)
     return found
 
