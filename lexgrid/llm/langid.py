@@ -203,9 +203,12 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS) -> BiGRU | None:
     length = F.length("text")
     start = lambda i: (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(length - WINDOW_CHARS, F.lit(1))) + 1).cast("int")
     windows = F.array(*[F.substring(F.col("text"), start(i), F.lit(WINDOW_CHARS)) for i in range(WINDOWS)])
+    usable = df.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    share = min(1.0, 1.3 * rows / max(1, usable.count()))
+    # Cut by hash before sorting: else each task would send as many rows as the whole sample has.
     sample = (
-        df.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (length > 0))
-        .select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", windows.alias("windows"))
+        usable.where((length > 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+        .select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"), "doc_id", windows.alias("windows"))
         .orderBy("h", "doc_id", "lang", "windows")
         .limit(rows)
         .collect()
