@@ -182,7 +182,9 @@ def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector:
     vectors = durable(distinct_vectors(rows, k + 1))
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates()
     # A bounded sample, the same at every run: the least hashes.
-    taken = vectors.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v")
+    share = min(1.0, 1.1 * SAMPLE / max(1, vectors.count()))
+    h = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
+    taken = vectors.where(h < int(share * (1 << 30))).orderBy(h, "v").limit(SAMPLE).select("v")
     by_length: dict[int, list] = {}
     for v in (r.v for r in taken.toLocalIterator()):
         by_length.setdefault(len(v), []).append(v)
