@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexgrid.runtime import durable
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """column, n, share of the non-null values."""
@@ -119,26 +121,27 @@ def tfidf(tokens: DataFrame, vocabulary: int = 1000) -> DataFrame:
 
 
 def mmr(df: DataFrame, query: list[float], k: int = 5, diversity: float = 0.5, group: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """group, rank, key: per group k rows by maximal marginal relevance to `query`, from the 50 k rows nearest to it.
+    """group, rank, key: per group k rows by maximal marginal relevance to `query`, from all its rows.
 
-    The candidates are cut by a window, so a group's Python step holds at most 50 k rows.
+    A round picks one row of each group: the best by (1 - diversity) * nearness - diversity * the greatest similarity
+    to the rows picked before; ties go to the nearer row, then to the least key. A null group is a group; rows without
+    a vector of the query's length can't be ranked.
     """
-    import numpy as np
-
     q = F.array(*[F.lit(float(x)) for x in query])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = F.col(vector).cast("array<double>")
-    near = top_per_group(df.select(group, key, v.alias("v"), dot(v, q).alias("near")), [group], 50 * k, F.desc("near"), F.col(key))
-
-    def pick(pdf):
-        pdf = pdf.sort_values(["near", key], ascending=[False, True]).reset_index(drop=True)
-        x = np.stack(pdf["v"].map(np.asarray).to_list())
-        chosen = [0]
-        while len(chosen) < min(k, len(pdf)):
-            score = (1 - diversity) * pdf["near"].to_numpy() - diversity * (x @ x[chosen].T).max(1)
-            score[chosen] = -np.inf
-            chosen.append(int(score.argmax()))
-        return pdf.iloc[chosen].assign(rank=range(1, len(chosen) + 1))[[group, "rank", key]]
-
-    kinds = dict(df.dtypes)
-    return near.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, rank int, {key} {kinds[key]}")
+    # Written once, so that a row keeps its number through the rounds; equal rows are told apart by it.
+    rows = durable(df.select(F.col(group).alias("_group"), F.col(key).alias("_key"), F.col(vector).alias("_vector"), dot(v, q).alias("_near")).where("_near is not null").withColumn("_row", F.monotonically_increasing_id()))
+    v, picks = F.col("_vector").cast("array<double>"), None
+    for rank in range(1, k + 1):
+        scored = rows.withColumn("_score", F.col("_near"))
+        if picks is not None:
+            # At most k rows a group.
+            chosen = picks.groupBy(F.col("_group").alias("_of")).agg(F.collect_list("_row").alias("_rows"), F.collect_list(F.col("_vector").cast("array<double>")).alias("_vectors"))
+            like = F.array_max(F.transform("_vectors", lambda c: dot(v, c)))
+            left = rows.join(chosen, F.col("_group").eqNullSafe(F.col("_of"))).where(~F.array_contains("_rows", F.col("_row")))
+            scored = left.withColumn("_score", (1 - diversity) * F.col("_near") - diversity * like)
+        best = scored.groupBy("_group").agg(F.min(F.struct((-F.col("_score")).alias("score"), (-F.col("_near")).alias("near"), "_key", "_vector", "_row")).alias("_best"))
+        found = durable(best.select("_group", F.lit(rank).alias("_rank"), "_best._key", "_best._vector", "_best._row"))
+        picks = found if picks is None else picks.unionByName(found)
+    return picks.select(F.col("_group").alias(group), F.col("_rank").alias("rank"), F.col("_key").alias(key))
