@@ -19,13 +19,21 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
+#: What may stand between the lines of a key: white space, also escaped, and marks of strings, quotes and comments.
+BREAK = r"""(?:\\[nrt]|[\s\\"',>#|])"""
 ADDED = {
     "bearer": (r"(?i:bearer)\x20+([A-Za-z0-9_.=-]{20,})", 1, 20),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     "stripe": (r"[sr]k_live_[A-Za-z0-9]{16,}", 0, 24),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
+    # The span is the header line, which all keys of a type share; the value is the key that follows, up to END or as far as whole lines go.
+    "pem": (
+        rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?={BREAK}*+(?:[A-Za-z-]++:[^\r\n\\]*+{BREAK}++)*+"
+        rf"""([A-Za-z0-9+/=\s\\"',>#|]++(?=-----END)|[A-Za-z0-9+/=]{{16,}}+(?:{BREAK}++[A-Za-z0-9+/=]{{16,}}+)*+|))""",
+        1,
+        20,
+    ),
 }
 KINDS = [*BASE, *ADDED]
 
@@ -45,6 +53,10 @@ def found(text: Column, kind: str) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    if kind == "pem":
+        # A key is the same under any line breaks and indents. A header without a key counts as itself.
+        key = lambda v: F.regexp_replace(v, r"\\[nrt]|[^A-Za-z0-9+/=]", "")
+        values = F.zip_with(matches, values, lambda m, v: F.when(F.length(key(v)) >= least, key(v)).otherwise(m))
     place = F.aggregate(
         F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(between, F.lit(1), F.size(matches)).alias("b")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>").alias("all")),

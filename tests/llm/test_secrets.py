@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -39,3 +40,29 @@ def test_copied_examples_and_owned_values(spark):
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[3].spans == "" and got[3].n_copied == 1 and got[3].n_live == 0
     assert got[99].spans == "github:4:48" and got[99].n_live == 1
+
+
+def test_private_keys_are_counted_by_their_bodies(spark):
+    head, end, begin = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"
+    lines = lambda seed: [base64.b64encode(hashlib.sha384(f"{seed} {i}".encode()).digest()).decode() for i in range(3)] + ["Zx9="]
+    own = {
+        0: [head, *lines(0), end],
+        1: [head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123", "", *lines(1), end],
+        2: [head, "SAMEFIRSTLINE" * 4, *lines(2), end],
+        3: [head, "SAMEFIRSTLINE" * 4, *lines(3)],
+        4: [head + "\\n" + "\\n".join(lines(4)) + "\\n" + end],
+        5: [head, *lines(5), end, head, *lines(6), end],
+        6: [head + "\\r\\n" + "\\r\\n".join(["SAMEFIRSTLINE" * 4, *lines(7)])],
+    }
+    rows = [(i, "é " + "\n".join(x), f"s{i % 4}") for i, x in own.items()]
+    copied, breaks = lines("example"), ["\n", "\n    ", "\r\n", "\\n"]
+    rows += [(100 + i, begin + b + b.join(copied) + b + "-----END PRIVATE KEY-----", f"s{i % 4}") for i in range(8) for b in [breaks[i % 4]]]
+    rows += [(200 + i, f"the line {begin} starts key number {i}", f"s{i % 4}") for i in range(8)]
+    rows += [(300, begin + "\n" + "ab " * 200000, "s1"), (301, begin + ("\n" + "aB3dE5gH7j" * 6) * 20000, "s1")]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i in own:
+        places = [m.span() for m in re.finditer(head, rows[i][1])]
+        assert got[i].spans == ",".join(f"pem:{a}:{b}" for a, b in places), i
+        assert (got[i].n_copied, got[i].n_live) == (0, len(places))
+    assert all(got[i].spans == "" and got[i].n_copied == 1 for i in [*range(100, 108), *range(200, 208), 300])
+    assert got[301].spans == f"pem:0:{len(begin)}"
