@@ -36,11 +36,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's documents, each as often as whole passes take it; the one at a source's cut stays whole."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).select("doc_id", F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("times"))
-    chosen = durable(taken.where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times")))
-    repeated = docs.join(chosen, "doc_id")
+    """The mix's documents, each as often as whole passes take it; the one at a source's cut stays whole.
+
+    Each row comes as often as the mix takes that row, also if its id is null or stands in other rows.
+    """
+    row = F.md5(F.to_json(F.struct("doc_id", F.md5("text").alias("text"), "lang", "source", "n_chars")))
+    docs = docs.select(*COLUMNS, F.unhex(row).alias("_row"))
+    taken = mixing.mix(docs, carried=("_row",)).select("_row", F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).alias("times"))
+    chosen = durable(taken.groupBy("_row").agg(F.sum("times").cast("int").alias("times"), F.count("*").alias("copies")).where("times > 0"))
+    # Of equal rows one stands for all that the mix takes of them; they are few, so their texts alone are shuffled for it.
+    copied = durable(chosen.where("copies > 1"))
+    repeated = docs.join(chosen.where("copies = 1"), "_row").unionByName(docs.join(copied, "_row").dropDuplicates(["_row"]))
     return repeated.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).select(*COLUMNS)
 
 

@@ -22,9 +22,9 @@ RANGE_DIGITS = 3
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source, size (words; a null text has none)."""
-    return df.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+def sizes(df: DataFrame, text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words; a null text has none), and the carried columns."""
+    return df.select("doc_id", "source", *carried, F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -53,28 +53,28 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return leveled.select("source", "source_size", F.when(F.col("capped"), F.lit(cap) * F.col("source_size")).otherwise(F.col("weight") * final).cast("double").alias("target"))
 
 
-def mix(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of df (doc_id, source, `text`).
+def mix(df: DataFrame, text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and the carried columns, for every row of df (doc_id, source, `text`).
 
     Words taken of a source add up to its target, rounded down; the document at the cut is taken in part. Rows of one
-    doc_id come in order of size; equal ones are alike. A null doc_id hashes as the empty text; a null source is a
+    doc_id come in order of size and of the carried columns; equal ones are alike. A null doc_id hashes as the empty text; a null source is a
     source of its own and comes last; a source without words has target 0. No rows give none.
     """
-    sized = sizes(df, text).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    sized = sizes(df, text, carried).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     planned = targets(sums.select("source", F.col("range_size").alias("size")))
     starts = sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
     # Sums over ranges joined with one row a source, then with the documents by (source, range): no document is sent by its source alone.
     offsets = starts.alias("s").join(planned.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.source", "s.range", "s.range_start", "p.source_size", "p.target")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("range_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.alias("d").join(offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.range") == F.col("o.range")))
     budget = F.floor(F.col("o.target")).cast("long")
     passes = F.when(F.col("o.source_size") > 0, F.floor(budget / F.col("o.source_size"))).otherwise(F.lit(0)).cast("long")
     left = budget - passes * F.col("o.source_size") - F.col("o.range_start") - F.col("d.range_before")
     taken = passes * F.col("d.size") + F.least(F.col("d.size"), F.greatest(left, F.lit(0)))
-    return joined.select("d.doc_id", "d.size", "o.source_size", "o.target", taken.cast("long").alias("taken"))
+    return joined.select("d.doc_id", "d.size", "o.source_size", "o.target", taken.cast("long").alias("taken"), *[f"d.{c}" for c in carried])
 
 
 #: The same in DuckDB's SQL.

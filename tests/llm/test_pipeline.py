@@ -65,3 +65,22 @@ def test_stages_keep_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == corpus_pipeline.COLUMNS, name
     assert re.match(r"\w", corpus_pipeline.STAGES[-1][0])
+
+
+def test_mix_takes_rows_without_an_id_and_rows_of_one_id(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(n))
+    rows = [(i, words(20), "en", rng.choice(["s1", "s2"]), 1) for i in range(30)]
+    rows += [(None, words(n), "en", s, None) for n in (11, 12, 13) for s in ("s1", "s2", None)] + [(None, "twice here", "en", "s1", 1)] * 2
+    rows += [(500, words(14), "en", "s1", 1), (500, words(15), "en", "s2", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(str, (tuple(r) for r in corpus_pipeline.target_mix(spark, docs, "").collect())))
+
+    # Sizes of the rows without an id, or of one id, differ within a source, but for the equal ones.
+    taken = {}
+    for r in mixing.mix(docs.withColumn("s", docs.source), carried=("s",)).collect():
+        taken.setdefault((r.doc_id, r.s, r.size), []).append(math.ceil(r.taken / max(1, r.size)))
+    want = []
+    for key, group in {(r[0], r[3], len(r[1].split())): r for r in rows}.items():
+        want += [str(group)] * sum(taken[key])
+    assert got == sorted(want) and sum("(None" in x for x in got) >= 10
