@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.graph.components import connected_components
@@ -91,8 +91,13 @@ def digest_of(shingle_set: np.ndarray) -> bytes:
     return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest()
 
 
+def row_id() -> Column:
+    """A hash of doc_id and text, null ids and texts included: the same for equal rows only."""
+    return F.unhex(F.md5(F.to_json(F.struct("doc_id", F.md5("text").alias("text")))))
+
+
 def sketch(df: DataFrame, n: int, n_bands: int, rows: int) -> DataFrame:
-    """doc_id, digest (null without shingles), size, bands of each row."""
+    """doc_id, row_id, digest (null without shingles), size, bands of each row of df (doc_id, text, row_id)."""
 
     def run(batches):
         for batch in batches:
@@ -102,9 +107,9 @@ def sketch(df: DataFrame, n: int, n_bands: int, rows: int) -> DataFrame:
                 digests = [digest_of(window[a:b]) if b > a else None for a, b in zip(offsets, offsets[1:])]
                 signed = signatures(window, offsets, n_bands, rows).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, signed.size + 1, n_bands), pa.int32()), pa.array(signed.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(g.lo, g.n), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), flat], names=["doc_id", "digest", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(g.lo, g.n), batch.column(2).slice(g.lo, g.n), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), flat], names=["doc_id", "row_id", "digest", "size", "bands"])
 
-    return df.mapInArrow(run, "doc_id long, digest binary, size long, bands array<long>")
+    return df.mapInArrow(run, "doc_id long, row_id binary, digest binary, size long, bands array<long>")
 
 
 def _members(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,10 +176,14 @@ def _spanning(linked: np.ndarray, own: bool) -> list[tuple[int, int]]:
     return out
 
 
+def _fetched(row: Column) -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.hex(row))).alias("fetched")
+
+
 def verify(candidates: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
     """digest, links, other: counts of verified links and spanning links among connected candidate classes.
 
-    candidates: digest, doc_id (its representative), size, copies, component. Classes of a component are dealt into
+    candidates: digest, doc_id and row_id (its representative), size, copies, component. Classes of a component are dealt into
     levels by set size, so that linked ones are on the same or the next level, and each level into blocks of about
     BLOCK classes; a task compares two blocks.
     """
@@ -193,8 +202,11 @@ def verify(candidates: DataFrame, texts: DataFrame, threshold: float, n: int) ->
     up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(zero, F.col("above") - 1), lambda x: side(here, block, F.lit(1), x)))
     down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(zero, F.col("below") - 1), lambda x: side(here - 1, x, F.lit(1), block)))
     none = F.array().cast("array<struct<own_level:int,own_block:int,level:int,a:int,up:int,b:int>>")
-    meets = dealt.select("doc_id", "digest", "copies", "component", F.concat(within, F.coalesce(up, none), F.coalesce(down, none)).alias("meets"))
-    rows = meets.join(texts.select("doc_id", "text"), "doc_id").select("digest", "copies", "component", F.explode("meets").alias("m"), "text")
+    meets = dealt.select(_fetched(F.col("row_id")), "digest", "copies", "component", F.concat(within, F.coalesce(up, none), F.coalesce(down, none)).alias("meets"))
+    # Texts without an id are fetched by the row's hash; of equal ones one is enough.
+    named = texts.where("doc_id is not null").select(_fetched(row_id()), "text")
+    unnamed = texts.where("doc_id is null").select(_fetched(row_id()), "text").dropDuplicates(["fetched"])
+    rows = meets.join(named.unionByName(unnamed), "fetched").select("digest", "copies", "component", F.explode("meets").alias("m"), "text")
     keyed = rows.select("component", "m.level", "m.a", "m.up", "m.b", ((F.col("m.own_level") != F.col("m.level")) | ((F.col("m.up") == 0) & (F.col("m.own_block") != F.col("m.a")))).alias("other"), "digest", "copies", "text")
     met = keyed.repartition(partitions, "component", "level", "a", "up", "b").sortWithinPartitions("component", "level", "a", "up", "b")
 
@@ -234,35 +246,46 @@ def verify(candidates: DataFrame, texts: DataFrame, threshold: float, n: int) ->
     return met.mapInArrow(run, "digest binary, links long, other binary")
 
 
-def join(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, n_links for every row of df (doc_id, text).
+def classify(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """doc_id, row_id, class_id, n_links, first for every row of df (doc_id, text), as in join().
 
-    class_id is the least doc_id among the rows connected by links; n_links the number of other rows whose shingle set
-    has a Jaccard similarity of at least `threshold` with the row's. Rows with equal sets, repeated rows included, are
-    linked. A null, empty or blank text has no shingle: no link and its own doc_id as class. Rows
-    without an id link with equal sets only; a class of theirs alone has a null class_id. No rows give none; other
-    columns are not read.
+    first is the row_id of the class's first row: the one with the least doc_id, nulls last, then the least row_id. A
+    row without shingles is its own.
     """
     source = df.select("doc_id", "text")
     n_bands = bands(threshold, rows, recall)
-    sketched = durable(sketch(source, n, n_bands, rows))
+    sketched = durable(sketch(source.select("doc_id", "text", row_id().alias("row_id")), n, n_bands, rows))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")).alias("head")
     classes = durable(
         sketched.where("digest is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+        .agg(head, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+        .select("digest", "head.doc_id", "head.row_id", "copies", "size", "bands")
     )
     buckets = classes.select("digest", F.posexplode("bands").alias("band", "hash"))
     leaders = buckets.groupBy("band", "hash").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader < last").drop("last")
     ties = buckets.join(leaders, ["band", "hash"]).where("digest <> leader").select(F.col("digest").alias("src"), F.col("leader").alias("dst")).distinct()
     tied = durable(connected_components(ties))
-    candidates = classes.join(tied, classes["digest"] == tied["node"]).where("doc_id is not null").select("digest", "doc_id", "size", "copies", "component")
+    candidates = classes.join(tied, classes["digest"] == tied["node"]).select("digest", "doc_id", "row_id", "size", "copies", "component")
     whole = durable(candidates)
     verified = durable(verify(whole, source, threshold, n))
     links = verified.groupBy("digest").agg(F.sum("links").alias("links"))
     spanning = verified.where("other is not null").select(F.col("digest").alias("src"), F.col("other").alias("dst"))
     joined = connected_components(spanning)
-    grouped = classes.join(links, "digest", "left").join(joined, classes["digest"] == joined["node"], "left").select("digest", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "digest").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    named = grouped.join(least, "component").select("digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return sketched.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    grouped = classes.join(links, "digest", "left").join(joined, classes["digest"] == joined["node"], "left").select("digest", "doc_id", "row_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "digest").alias("component"))
+    least = grouped.groupBy("component").agg(head).select("component", F.col("head.doc_id").alias("class_id"), F.col("head.row_id").alias("first"))
+    named = grouped.join(least, "component").select("digest", "class_id", "first", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    blank = F.col("digest").isNull()
+    return sketched.select("doc_id", "row_id", "digest").join(named, "digest", "left").select("doc_id", "row_id", F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(blank, F.col("row_id")).otherwise(F.col("first")).alias("first"))
 
+
+def join(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id, n_links for every row of df (doc_id, text).
+
+    class_id is the least doc_id among the rows connected by links; n_links the number of other rows whose shingle set
+    has a Jaccard similarity of at least `threshold` with the row's. Rows with equal sets, repeated rows included, are
+    linked. A null, empty or blank text has no shingle: no link and its own doc_id as class. Rows
+    without an id link like others; a class of theirs alone has a null class_id. No rows give none; other columns are
+    not read.
+    """
+    return classify(df, threshold, n, recall, rows).select("doc_id", "class_id", "n_links")

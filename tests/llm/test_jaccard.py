@@ -54,3 +54,13 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_band_number_reaches_recall():
     b = jaccard.bands(0.8, 5, 0.9999)
     assert 1 - (1 - 0.8**5) ** b >= 0.9999 > 1 - (1 - 0.8**5) ** (b - 1)
+
+
+def test_rows_without_an_id_link(spark):
+    rng = random.Random(6)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(200)]
+    text = lambda i: " ".join([*base[:i], "edit", *base[i + 1 :]])
+    other = " ".join("z" + w for w in base)
+    rows = [(None, text(3)), (None, text(3)), (None, text(90)), (8, text(120)), (9, "quite another text of its own here"), (None, other), (None, other + " more"), (None, None)]
+    got = sorted(map(str, (tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == sorted(["(None, 8, 3)"] * 3 + ["(8, 8, 3)", "(9, 9, 0)"] + ["(None, None, 1)"] * 2 + ["(None, None, 0)"])
