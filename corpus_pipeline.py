@@ -22,12 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least id, whole; of repeated rows of an id one stays."""
+    """Of each class of linked rows the first, whole: the one with the least id, nulls last; of equal texts of an id one stays.
+
+    Rows of one id with texts that are not linked are in classes of their own.
+    """
     docs = docs.select(*COLUMNS)
-    classes = jaccard.join(docs)
-    firsts = classes.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    firsts = jaccard.classify(docs).where("row_id = first").select("row_id").distinct()
+    return docs.withColumn("row_id", jaccard.row_id()).join(firsts, "row_id", "left_semi").dropDuplicates(["row_id"]).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,13 @@ def test_mix_takes_rows_without_an_id_and_rows_of_one_id(spark):
     for key, group in {(r[0], r[3], len(r[1].split())): r for r in rows}.items():
         want += [str(group)] * sum(taken[key])
     assert got == sorted(want) and sum("(None" in x for x in got) >= 10
+
+
+def test_near_duplicates_removes_only_equal_or_linked_texts(spark):
+    rng = random.Random(7)
+    fresh = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(60))
+    a, b, c, d = (fresh() for _ in range(4))
+    rows = [(1, a), (2, a + " end"), (2, b), (2, b), (3, c), (3, d), (None, c + " end"), (None, b), (None, d[:150]), (None, d[:150])]
+    docs = spark.createDataFrame([(i, t, "en", "s1", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted([("1", a), ("2", b), ("3", c), ("3", d), ("None", d[:150])])
