@@ -1,23 +1,29 @@
 """Quality rules whose cutoffs come from labelled documents, with a guaranteed bound on how many good ones they reject.
 
 A rule rejects a document whose score (share of repeated words, of symbols, of repeated lines, ...) is at or above a
-cutoff. For each stratum and rule the labelled good documents above each cutoff of a fixed grid are counted. The exact
-binomial (Clopper-Pearson) upper bound of the rate of rejected good documents must be at most `risk` / rules, so that
-all rules together reject at most `risk` of a stratum's good documents, at confidence 1 - `alpha` / (strata x rules):
-Bonferroni's correction over strata and rules. Within one rule the cutoffs are tested from the mildest on and testing
-stops at the first that fails (fixed-sequence testing), so the grid needs no further correction. Of the accepted
-cutoffs the one with the best balance of bad and good documents rejected is taken, the mildest of equal ones; a rule
-without gain rejects nothing.
+cutoff. All rules together form one nested family: a path of steps, each of which moves one rule's cutoff to a stricter
+place of a fixed grid, so what a step rejects every later step rejects too. The path is laid greedily on a bounded
+sample of the labelled rows, which then take no further part. On the other labelled rows, the holdout, the good ones
+that each step rejects are counted in each stratum. The exact binomial (Clopper-Pearson) upper bound of the rate of
+rejected good documents must be at most `risk`, at confidence 1 - `alpha` / strata: Bonferroni's correction over
+strata. Within a stratum the steps are tested from the mildest on and testing stops at the first that fails
+(fixed-sequence testing), so the path needs no further correction. Of the accepted steps the one with the best balance
+of bad and good holdout documents rejected is taken, the mildest of equal ones; without gain nothing is rejected.
+
+Strata with fewer than LEAST good holdout documents can't be certified by themselves. They are tested as one stratum
+together, and the bound then holds for their mixture.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexgrid.llm.words import SPACE, Group, counts, grams, groups, mix
 from lexgrid.runtime import durable
@@ -29,8 +35,12 @@ WINDOW = 5
 RISK, ALPHA = 0.05, 0.05
 #: Bad documents that must be rejected for each good one.
 COST = 5
-#: Cutoffs, the mildest first: a document is rejected if its score is at least the cutoff.
-GRID = [round(1 - i / 50, 2) for i in range(50)]
+#: Grid of the cutoffs: step i of a rule rejects scores of at least 1 - i / GRID; the mildest comes first.
+GRID = 50
+#: The path is laid on at most so many labelled rows, one in DESIGN_SHARE of them.
+DESIGN_ROWS, DESIGN_SHARE = 3000, 3
+#: Good holdout documents that a stratum of its own needs: with fewer, no step could pass even as the only test.
+LEAST = math.ceil(math.log(ALPHA) / math.log(1 - RISK))
 RULES = ("repeat", "symbols", "dup_lines", "few_distinct", "long_words")
 
 _SYMBOL = np.zeros(256, bool)
@@ -108,69 +118,147 @@ def score(rule: str):
     return share.cast("double")
 
 
+def _tail(k: int, n: int, p: float) -> float:
+    """The probability of at most k successes in n trials: the regularized incomplete beta function by its continued fraction."""
+
+    def fraction(a: float, b: float, x: float) -> float:
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+        c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+        out = d
+        for m in range(1, 100_000):
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            for term in (even, odd):
+                d, c = 1 + term * d, 1 + term / c
+                d, c = 1 / (d or 1e-300), c or 1e-300
+                out *= c * d
+            if abs(c * d - 1) < 1e-12:
+                break
+        return front * out / a
+
+    if p <= 0.0 or k >= n:
+        return 1.0
+    if p >= 1.0:
+        return 0.0
+    a, b, x = n - k, k + 1, 1 - p
+    return fraction(a, b, x) if x < (a + 1) / (a + b + 2) else 1 - fraction(b, a, p)
+
+
 def upper_bound(rejected: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest rate at which as few as `rejected` of n still have probability `delta`."""
     if n == 0 or rejected >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(rejected + 1)]
-
-    def tail(p: float) -> float:
-        terms = [c + i * math.log(p) + (n - i) * math.log1p(-p) for i, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms)
-
     low, high = rejected / n, 1.0
-    for _ in range(60):
+    while high - low > 1e-10:
         middle = (low + high) / 2
-        if middle in (0.0, 1.0) or tail(middle) > delta:
+        if _tail(rejected, n, middle) > delta:
             low = middle
         else:
             high = middle
-        if high - low < 1e-9:
-            break
     return high
 
 
-def choose(good: dict[int, int], bad: dict[int, int], n: int, tests: int, risk: float, alpha: float) -> float | None:
-    """The cutoff to use, or None. good, bad: labelled documents by the first grid step at which they are rejected; n: good ones in all."""
+def steps() -> list:
+    """For each rule the grid step at which it first rejects a measured row: 0 is the mildest cutoff, GRID rejects all."""
+    return [F.ceil((1 - score(r)) * GRID - 1e-9).cast("int") for r in RULES]
+
+
+def lay_path(x: np.ndarray, good: np.ndarray, cost: float = COST) -> list[tuple[int, int]]:
+    """The path: (rule, grid step) moves. x: the grid steps of labelled rows, (rows, rules).
+
+    Each move rejects the rows with the best share of bad ones among those left, of equal shares the most, then of the
+    first rule at the mildest step. A move that no longer rejects `cost` bad rows for a good one ends the path.
+    """
+    left, path = np.ones(len(x), bool), []
+    at = [-1] * x.shape[1]
+    while left.any():
+        best, move = (cost / (cost + 1), 0.0), None
+        for rule in range(x.shape[1]):
+            bad = np.cumsum(np.bincount(x[left & ~good, rule], minlength=GRID + 1))
+            all_ = np.cumsum(np.bincount(x[left, rule], minlength=GRID + 1))
+            for step in np.flatnonzero(np.diff(bad, prepend=0)):
+                gain = (bad[step] / all_[step], float(bad[step]))
+                if step > at[rule] and step < GRID and gain > best:
+                    best, move = gain, (rule, int(step))
+        if move is None:
+            break
+        path.append(move)
+        at[move[0]] = move[1]
+        left &= x[:, move[0]] > move[1]
+    return path
+
+
+def position(path: list[tuple[int, int]]):
+    """The first move of the path that rejects a measured row, from 0; null if none does."""
+    by_rule = []
+    for rule, step in zip(range(len(RULES)), steps()):
+        own = sorted((s, i) for i, (r, s) in enumerate(path) if r == rule)
+        found = F.lit(None).cast("int")
+        for s, i in reversed(own):
+            found = F.when(step <= s, F.lit(i)).otherwise(found)
+        by_rule.append(found)
+    return F.least(*by_rule) if path else F.lit(None).cast("int")
+
+
+def choose(good: dict[int, int], bad: dict[int, int], n: int, moves: int, tests: int, risk: float = RISK, alpha: float = ALPHA) -> int | None:
+    """The last move of the path to use, or None. good, bad: holdout documents by position; n: good ones in all."""
     found, best = None, 0
     lost = caught = 0
-    for i, cutoff in enumerate(GRID):
+    for i in range(moves):
         lost, caught = lost + good.get(i, 0), caught + bad.get(i, 0)
         if lost > risk * n or upper_bound(lost, n, alpha / tests) > risk:
             break
         if caught - COST * lost > best:
-            found, best = cutoff, caught - COST * lost
+            found, best = i, caught - COST * lost
     return found
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, alpha: float = ALPHA) -> dict:
-    """{(stratum, rule): cutoff} from the labelled documents that the base rules keep.
+class Cutoffs(NamedTuple):
+    """The path, and per stratum the last move that counts: those of `own` (stratum, last) by themselves, `other` for all else."""
+
+    path: list[tuple[int, int]]
+    own: list[tuple]
+    other: int | None
 
-    A document with several labels counts as good if any says so. What comes to the driver is one count for each
-    stratum, rule, cutoff and label.
+
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, alpha: float = ALPHA) -> Cutoffs:
+    """The certified cutoffs from the labelled documents that the base rules keep.
+
+    A document with several labels counts as good if any says so. To the driver come DESIGN_ROWS rows of grid steps at
+    most, and one count for each position, label and stratum of at least LEAST good holdout documents.
     """
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
-    rows = measured.where(~base_failed()).join(label, "doc_id")
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil((1 - score(r)) * 50 - 1e-9).cast("int").alias("step")) for r in RULES])
-    counted = rows.select(F.col(stratum).alias("stratum"), "good", F.inline(steps)).groupBy("stratum", "rule", "step", "good").count().collect()
+    # A hash of the id deals the rows, so that copies of a row are never on both sides.
+    deal = F.xxhash64("doc_id", F.lit("design"))
+    rows = durable(measured.where(~base_failed()).join(label, "doc_id").select("good", F.col(stratum).alias("stratum"), deal.alias("deal"), *MEASURES))
+    design = F.pmod("deal", F.lit(DESIGN_SHARE)) == 0
+    sample = rows.where(design).orderBy("deal", *MEASURES, "good").limit(DESIGN_ROWS).select("good", *[s.alias(f"s{i}") for i, s in enumerate(steps())]).collect()
+    path = lay_path(np.array([r[1:] for r in sample], np.int64).reshape(-1, len(RULES)), np.array([r[0] for r in sample], bool))
+    holdout = rows.where(~design).groupBy("stratum", position(path).alias("position"), "good").count()
+    large = holdout.where("good").groupBy("stratum").agg(F.sum("count").alias("n")).where(F.col("n") >= LEAST).select(F.col("stratum").alias("own"), F.lit(True).alias("large"))
+    dealt = holdout.join(large, F.col("stratum").eqNullSafe(F.col("own")), "left").withColumn("own", F.col("large").isNotNull())
+    counted = dealt.groupBy(F.when(F.col("own"), F.col("stratum")).alias("stratum"), "own", "position", "good").agg(F.sum("count").alias("n")).collect()
     found: dict = {}
     for r in counted:
-        found.setdefault((r["stratum"], r["rule"]), ({}, {}))[r["good"]][r["step"]] = r["count"]
-    chosen = {}
-    for key, (bad, good) in found.items():
-        cutoff = choose(good, bad, sum(good.values()), len(found), risk / len(RULES), alpha)
-        if cutoff is not None:
-            chosen[key] = cutoff
-    return chosen
+        found.setdefault((r["own"], r["stratum"]), ({}, {}))[r["good"]][r["position"]] = r["n"]
+    last = {key: choose(good, bad, sum(good.values()), len(path), len(found), risk, alpha) for key, (bad, good) in found.items()}
+    return Cutoffs(path, sorted(((s, i) for (own, s), i in last.items() if own), key=str), last.get((False, None)))
 
 
-def verdict(chosen: dict, stratum: str = "lang"):
-    """Whether no rule rejects a measured row; a stratum without labelled documents is kept."""
-    keep = F.lit(True)
-    for (value, rule), cutoff in sorted(chosen.items(), key=str):
-        keep = keep & ~(F.col(stratum).eqNullSafe(F.lit(value)) & (score(rule) >= F.lit(cutoff)))
-    return keep
+def with_verdict(measured: DataFrame, chosen: Cutoffs, stratum: str = "lang") -> DataFrame:
+    """measured with base_failed and kept: whether neither the base rules nor a move up to its stratum's last one reject a row.
+
+    The strata's cutoffs are a table, which Spark sends to all tasks if its files are small.
+    """
+    spark = measured.sparkSession
+    judged = measured.withColumn("base_failed", base_failed()).withColumn("_position", F.when(~F.col("base_failed"), position(chosen.path)))
+    last = F.lit(chosen.other).cast("int")
+    if chosen.own:
+        table = durable(spark.createDataFrame([(s, i) for s, i in chosen.own], StructType([StructField("_stratum", measured.schema[stratum].dataType), StructField("_last", IntegerType())])).withColumn("_own", F.lit(True)))
+        judged = judged.join(table, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+        last = F.when(F.col("_own"), F.col("_last")).otherwise(last)
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("_position") <= last, F.lit(False))
+    return judged.withColumn("kept", kept).drop("_position", "_stratum", "_last", "_own")
 
 
 def judge(df: DataFrame, labels: DataFrame, keep: list[str] | None = None, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
@@ -183,11 +271,9 @@ def judge(df: DataFrame, labels: DataFrame, keep: list[str] | None = None, risk:
     """
     keep = list(dict.fromkeys(["doc_id", "lang", *(keep or [])]))
     measured = durable(measures(df, keep))
-    chosen = cutoffs(measured, labels, "lang", risk, alpha)
-    failed = base_failed()
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(chosen))
+    return with_verdict(measured, cutoffs(measured, labels, "lang", risk, alpha))
 
 
 def report(df: DataFrame, labels: DataFrame) -> DataFrame:
-    judged = judge(df, labels)
-    return judged.select("doc_id", *MEASURES, "base_failed", "kept")
+    """doc_id, the measures, base_failed and kept for every row of df; nulls, empty texts and repeated rows as in judge()."""
+    return judge(df, labels).select("doc_id", *MEASURES, "base_failed", "kept")

@@ -94,3 +94,16 @@ def test_near_duplicates_removes_only_equal_or_linked_texts(spark):
     docs = spark.createDataFrame([(i, t, "en", "s1", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == sorted([("1", a), ("2", b), ("3", c), ("3", d), ("None", d[:150])])
+
+
+def test_quality_stage_uses_learned_cutoffs(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(5000)) + "x" for _ in range(40)]
+        rows.append((i, " ".join(w + "%$" if i % 5 == 0 else w for w in words), "en" if i % 2 else None, "s1", 1, "clash"))
+    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(500)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    got = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(r.doc_id for r in got.collect()) == [i for i in range(600) if i % 5]
