@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     measured = durable(quality.measures(docs, ["doc_id", "lang"]))
     chosen = quality.cutoffs(measured, table(prepare(spark), sf_dir, "labels"))
     # Measuring again costs less than joining the verdicts to the texts would.
-    return quality.measures(docs, COLUMNS).where(~quality.base_failed() & quality.verdict(chosen)).select(*COLUMNS)
+    return quality.with_verdict(quality.measures(docs, COLUMNS), chosen).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
