@@ -1,11 +1,12 @@
 """Personal data by contextual bootstrapping.
 
-Contract matches (email, ip, card, phone) are the seeds. Every token with a digit or an @ is an instance; the words
-before it are its lexical patterns. Spark scores the bipartite pattern-instance graph: a pattern's confidence is the
-mean score of its distinct instances, an instance's score the noisy-or of its patterns' confidences, seeds staying at
-one. A pattern must also be specific: most of its occurrences anywhere in the corpus introduce an instance, so words
-of ordinary prose don't count. After a few rounds the instances that confident patterns introduce are reported as
-identifiers, seen or unseen.
+Contract matches (email, ip, card, phone) are the seeds. Every token with a digit, an @ or an underscore is a possible
+identifier, an instance; the words before it are its lexical patterns. Spark scores the bipartite pattern-instance
+graph in rounds. A round admits the patterns that enough known instances induce and whose confidence, the mean score of
+their distinct instances, is high; an instance's score is the noisy-or of the confidences of its admitted patterns,
+seeds staying at one. Instances found in one round thus induce patterns in the next. Scores never fall, so the rounds
+end at a fixed point. A pattern must also be specific: most of its occurrences anywhere in the corpus introduce an
+instance, so words of ordinary prose don't count. What admitted patterns introduce is reported, seen before or not.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.llm.words import Group, grams, groups, mix
@@ -26,14 +27,14 @@ from lexgrid.runtime import durable
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE = KINDS[:4]
 
-#: A pattern counts if it introduces so many distinct seeds and its confidence reaches the least one.
-SEEDS, CONFIDENCE, ROUNDS = 5, 0.7, 3
+#: A pattern is admitted if so many distinct known instances back it and its confidence reaches the least one.
+SEEDS, CONFIDENCE = 5, 0.5
 #: Least share of a pattern's occurrences in the corpus that introduce an instance.
 SPECIFIC = 0.5
-#: Patterns whose occurrences are counted in one pass.
-PASS_PATTERNS = 100_000
-#: Rows up to which found spans are sent to all tasks instead of shuffling the texts to them.
-SMALL_ROWS = 50_000
+#: Bits of the table, of 4 MB, that tells the tasks which patterns to count. Few patterns or many, its size is the same.
+FILTER_BITS = 1 << 25
+#: Distinct patterns that a task counts before it passes the counts on.
+COUNTED = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -43,6 +44,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile(r"[0-9]")
+_SIGN = re.compile(r"[0-9@_]")
 _EDGE = "\"'()[]{}<>,;:!?.#=*"
 
 
@@ -98,8 +100,8 @@ def contexts(g: Group) -> tuple[np.ndarray, np.ndarray]:
 
 
 def instances(text: str, base: list[tuple[int, str, int]], one: np.ndarray, two: np.ndarray) -> list[dict]:
-    """Seeds and other tokens with a digit or an @, each with its patterns. one, two: the contexts of the text's words."""
-    if not base and not _DIGIT.search(text) and "@" not in text:
+    """Seeds and other tokens with a digit, an @ or an underscore, each with its patterns. one, two: the contexts of the text's words."""
+    if not base and not _SIGN.search(text):
         return []
     spans, cover = [(s, e, True) for s, _, e in base], iter([*base, (len(text) + 1, "", len(text) + 1)])
     tokens, before, history = [], next(cover), []
@@ -109,9 +111,9 @@ def instances(text: str, base: list[tuple[int, str, int]], one: np.ndarray, two:
         history.append((m.start(), m.end()))
         if before[0] < m.end():
             continue
-        if _DIGIT.search(m[0]) or "@" in m[0]:
+        if _SIGN.search(m[0]):
             stripped = m[0].strip(_EDGE)
-            if len(stripped) >= 5 and (_DIGIT.search(stripped) or "@" in stripped):
+            if len(stripped) >= 5 and _SIGN.search(stripped):
                 start = m.start() + m[0].index(stripped)
                 spans.append((start, start + len(stripped), False))
     ends = [h[1] for h in history]
@@ -126,59 +128,73 @@ _INSTANCE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.
 _INSTANCE_DDL = "array<struct<start:int,stop:int,seed:boolean,instance:bigint,patterns:array<bigint>>>"
 
 
+def _row() -> Column:
+    """A hash of the text, which tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row")
+
+
 def scan(df: DataFrame) -> DataFrame:
-    """doc_id, row, base, found of each row: one pass over the texts. row tells rows of one doc_id apart by their text."""
+    """doc_id, row, base, found of each row: one pass over the texts."""
 
     def run(batches):
         for batch in batches:
-            for g in groups(batch.column(1)):
-                ids, rows, bases, every = batch.column(0).slice(g.lo, g.n), [], [], []
+            for g in groups(batch.column(2)):
+                part, bases, every = batch.slice(g.lo, g.n), [], []
                 one, two = contexts(g)
                 first = g.first_word()
-                for i, x in enumerate(batch.column(1).slice(g.lo, g.n)):
+                for i, x in enumerate(part.column(2)):
                     text = x.as_py() or ""
                     base = base_spans(text)
-                    rows.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
                     bases.append(spans_text(base))
                     every.append(instances(text, base, one[first[i] : first[i + 1]], two[first[i] : first[i + 1]]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.int64()), pa.array(bases, pa.string()), pa.array(every, pa.list_(_INSTANCE))], names=["doc_id", "row", "base", "found"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bases, pa.string()), pa.array(every, pa.list_(_INSTANCE))], names=["doc_id", "row", "base", "found"])
+
+    return df.select("doc_id", _row(), "text").mapInArrow(run, f"doc_id long, row long, base string, found {_INSTANCE_DDL}")
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id long, row long, base string, found {_INSTANCE_DDL}")
+
+def _filter(patterns: DataFrame) -> np.ndarray:
+    """A bit for each remainder of a pattern's hash by FILTER_BITS, set where a pattern has it."""
+    place = F.pmod("pattern", F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from one
+    buckets = patterns.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in buckets.toLocalIterator():
+        part = np.frombuffer(r["bits"], np.uint8)
+        at = (r["bucket"] - 1) * len(part)
+        bits[at : at + len(part)] = part
+    return bits
 
 
 def occurrences(df: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, n: how often each of the patterns occurs before any word of the corpus.
+    """pattern, n: how often each of the patterns occurs before any word of the corpus, in one pass over the texts.
 
-    The patterns go to the tasks as a sorted array of at most PASS_PATTERNS hashes; more take further passes.
+    The tasks count what a bit table of fixed size lets through, which is all of the patterns and few others.
     """
-    passes = max(1, -(-patterns.count() // PASS_PATTERNS) * 2)
-    out = None
-    for i in range(passes if passes > 2 else 1):
-        own = patterns if passes <= 2 else patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i)
-        wanted = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in own.toLocalIterator()], np.int64)))
-
-        def run(batches, wanted=wanted):
-            have = wanted.value
-            counts = np.zeros(len(have), np.int64)
-            for batch in batches:
-                for g in groups(batch.column(0)) if len(have) else ():
-                    for context in contexts(g):
-                        at = np.minimum(np.searchsorted(have, context), len(have) - 1)
-                        counts += np.bincount(at[have[at] == context], minlength=len(have))
-            found = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(have[found]), pa.array(counts[found])], names=["pattern", "n"])
-
-        part = df.select("text").mapInArrow(run, "pattern long, n long")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("pattern").agg(F.sum("n").alias("n"))
-
-
-def score_patterns(df: DataFrame, scanned: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS, specific: float = SPECIFIC) -> DataFrame:
-    """pattern, confidence of the patterns that pass, after `rounds` of scoring the pattern-instance graph.
+    wanted = df.sparkSession.sparkContext.broadcast(_filter(patterns))
 
-    Instances are distinct values, so copies of one document add nothing. Every round is two sums over edges; the
-    state between rounds is written to the shared folder.
-    """
+    def run(batches):
+        bits, held = wanted.value, {}
+
+        def out():
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], names=["pattern", "n"])
+
+        for batch in batches:
+            for g in groups(batch.column(0)):
+                both = np.concatenate(contexts(g))
+                place = both & (FILTER_BITS - 1)
+                keys, counts = np.unique(both[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0], return_counts=True)
+                for k, n in zip(keys.tolist(), counts.tolist()):
+                    held[k] = held.get(k, 0) + n
+                if len(held) > COUNTED:
+                    yield from out()
+                    held.clear()
+        yield from out()
+
+    counted = df.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return counted.join(patterns.select("pattern"), "pattern", "left_semi")
+
+
+def specific_edges(df: DataFrame, scanned: DataFrame, seeds: int, specific: float) -> DataFrame:
+    """pattern, instance, seed: once for each pair, of the patterns with `seeds` distinct instances that are specific."""
     edges = durable(
         scanned.where(F.size("found") > 0)
         .select(F.explode("found").alias("f"))
@@ -186,17 +202,33 @@ def score_patterns(df: DataFrame, scanned: DataFrame, seeds: int = SEEDS, confid
         .groupBy("pattern", "instance")
         .agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     )
-    backed = durable(edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum("n").alias("hits")).where(F.col("seeds") >= seeds).select("pattern", "hits"))
-    good = durable(backed.join(occurrences(df, backed.select("pattern")), "pattern").where(F.col("hits") >= F.lit(specific) * F.col("n")).select("pattern"))
-    edges = durable(edges.join(good, "pattern", "left_semi"))
-    score = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for k in range(rounds):
-        patterns = edges.join(score, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"))
-        if k == rounds - 1:
-            return durable(patterns.where(F.col("confidence") >= confidence))
+    backed = durable(edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("hits")).where(F.col("instances") >= seeds).select("pattern", "hits"))
+    if backed.isEmpty():
+        return edges.select("pattern", "instance", "seed").limit(0)
+    good = backed.join(occurrences(df, backed), "pattern").where(F.col("hits") >= F.lit(specific) * F.col("n")).select("pattern")
+    return durable(edges.join(good, "pattern", "left_semi").select("pattern", "instance", "seed"))
+
+
+def score_patterns(edges: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
+    """pattern, confidence of the patterns admitted when no score changes any more.
+
+    Instances are distinct values, so copies of one document add nothing. Every round is two sums over edges; the
+    state between rounds, one row for each known instance, is written to the shared folder. Scores are rounded to
+    thousandths, so they can only rise so often.
+    """
+    score = durable(edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0)))
+    before = None
+    while True:
+        judged = edges.join(score, "instance", "left").groupBy("pattern").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence"), F.sum((F.col("score") >= confidence).cast("int")).alias("support"))
+        admitted = durable(judged.where((F.col("support") >= seeds) & (F.col("confidence") >= confidence)).select("pattern", "confidence"))
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1.0) - F.col("confidence"), F.lit(1e-9)))))
-        score = durable(edges.join(patterns, "pattern").groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(1.0 - doubt).alias("score")))
-    return durable(edges.select("pattern", F.lit(1.0).alias("confidence")).limit(0))
+        found = edges.join(admitted, "pattern").groupBy("instance").agg(F.round(1.0 - doubt, 3).alias("found"), F.max("seed").alias("seed"))
+        known = found.where("not seed").select("instance", F.col("found").alias("score"))
+        score = durable(edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0)).unionByName(known.where(F.col("score") > 0)).groupBy("instance").agg(F.max("score").alias("score")))
+        now = tuple(score.agg(F.count("*"), F.sum(F.round(F.col("score") * 1000).cast("long"))).first())
+        if now == before:
+            return admitted
+        before = now
 
 
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -210,8 +242,13 @@ def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def _with(left: DataFrame, added: DataFrame, small: bool) -> DataFrame:
-    right = (F.broadcast(added) if small else added).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "added")
+def learned(df: DataFrame, scanned: DataFrame, seeds: int, confidence: float, specific: float = SPECIFIC) -> DataFrame:
+    """The spans that bootstrapping adds, written to the shared folder: Spark knows their size when it joins them to the rows."""
+    return durable(discovered(scanned, score_patterns(specific_edges(df, scanned, seeds, specific), seeds, confidence)))
+
+
+def _with(left: DataFrame, added: DataFrame) -> DataFrame:
+    right = added.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "added")
     return left.join(right, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left").drop("_doc", "_row")
 
 
@@ -222,8 +259,7 @@ def find(df: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE) -> D
     give none. Other columns are not read.
     """
     scanned = durable(scan(df))
-    added = durable(discovered(scanned, score_patterns(df, scanned, seeds, confidence)))
-    rows = _with(scanned.select("doc_id", "row", "base"), added, added.count() <= SMALL_ROWS)
+    rows = _with(scanned.select("doc_id", "row", "base"), learned(df, scanned, seeds, confidence))
     start = lambda s: F.element_at(F.split(s, ":"), 2).cast("int")
     base = F.filter(F.split("base", ","), lambda s: s != "")
     order = F.concat(
@@ -257,9 +293,8 @@ def mask_text(text: str, added: list[tuple[int, int]]) -> str:
 def mask(df: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
     """df with every span in `text` replaced by its kind; a column n_chars, if there, gets the new length. A null text stays null."""
     scanned = durable(scan(df))
-    added = durable(discovered(scanned, score_patterns(df, scanned, seeds, confidence)))
     names = df.columns
-    keyed = _with(df.withColumn("row", _row_of(df)) if added.head(1) else df.withColumn("row", F.lit(0).cast("long")), added, added.count() <= SMALL_ROWS)
+    keyed = _with(df.withColumn("row", _row()), learned(df, scanned, seeds, confidence))
 
     def run(batches):
         for batch in batches:
@@ -273,10 +308,3 @@ def mask(df: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE) -> D
 
     return keyed.select(*names, "added").mapInArrow(run, df.schema)
 
-
-def _row_of(df: DataFrame):
-    @F.pandas_udf("long")
-    def hashed(texts):
-        return texts.map(lambda t: xxhash.xxh3_64_intdigest(t or "") - (1 << 63)).astype("int64")
-
-    return hashed(F.coalesce(df["text"], F.lit("")))

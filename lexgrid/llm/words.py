@@ -71,10 +71,18 @@ class Group:
             return np.zeros(0, np.uint64)
         base = (_BASE + 2 * seed) % (1 << 64)
         inverse = _INVERSE if not seed else pow(base, -1, 1 << 64)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(inverse, len(self.data)), out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * powers(base, len(self.data))[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
+        out = np.empty(len(self.start), np.uint64)
+        lo = 0
+        while lo < len(out):  # some words at a time, so that a long text takes no more room than a group
+            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + GROUP_BYTES, "right")))
+            data = self.data[self.start[lo] : self.end[hi - 1]]
+            start, end = self.start[lo:hi] - self.start[lo], self.end[lo:hi] - self.start[lo]
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(inverse, len(data)), out=sums[1:])
+            h = (sums[end] - sums[start]) * powers(base, len(data))[start]
+            out[lo:hi] = mix(h + (end - start).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
+            lo = hi
+        return out
 
 
 def grams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
