@@ -2,17 +2,19 @@
 
 1. Each text becomes its set of five-word shingles; texts with equal sets are one class, represented by a digest.
 2. Bands and rows are chosen so that a pair at the threshold meets in a band with the target probability. Classes are
-   shuffled on band hashes; those of a band bucket are tied to its least one, so a bucket of n gives n - 1 rows and
-   not n * n. Connected classes are the candidates of each other: whatever shares a bucket is connected.
-3. Connected classes meet in blocks of bounded size, dealt by set size, since a pair's sizes must be within the
-   threshold of each other. A block of blocks compares full sets; per class it returns the number of links and one
-   spanning link to each linked neighbourhood, never pairs.
+   shuffled on band hashes. Of buckets with the same members only the first band's is kept.
+3. A bucket's classes meet in blocks of bounded size, two at a time. A pair belongs to the first band in which it meets,
+   so no pair is compared twice. Signatures tell which classes have such a partner of fitting size in a pair of blocks;
+   only their texts are sent there.
+4. The blocks compare full sets. Per class they return its number of links and one link to the least class it hangs
+   together with in these blocks, never pairs. What hangs together over all blocks is joined last.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ THRESHOLD = 0.8
 ROWS = 5
 #: Probability with which a pair at the threshold meets.
 RECALL = 0.9999
-#: Classes in a block.
-BLOCK = 256
+#: Classes, and shingles of all of them, in a block of a bucket.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 #: Distinct shingles compared at once.
 COLUMNS = 8192
 
@@ -77,9 +79,9 @@ def signatures(window: np.ndarray, offsets: np.ndarray, n_bands: int, rows: int)
     for b in range(n_bands):
         key = np.full(len(full), b + 1, np.uint64)
         for r in range(rows):
-            i = np.uint64(b * rows + r + 1)
+            i = np.array([b * rows + r + 1], np.uint64)
             # Multiply-shift by a seed of its own for each minimum.
-            seed = mix(np.array([i * np.uint64(0x9E3779B97F4A7C15)], np.uint64))[0] | np.uint64(1)
+            seed = mix(i * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
             value = (low + i * high) * seed
             value ^= value >> np.uint64(31)
             key = mix(key ^ np.minimum.reduceat(value * np.uint64(0xD6E8FEB86659FD93), starts))
@@ -134,116 +136,179 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(left: dict, right: dict | None, threshold: float):
-    """(digest, links, other) rows of two blocks, or of one block with itself."""
-    a, b = left, right or left
-    both = common(a["sets"], b["sets"])
-    sizes_a, sizes_b = np.array([len(s) for s in a["sets"]]), np.array([len(s) for s in b["sets"]])
-    union = sizes_a[:, None] + sizes_b[None, :] - both
-    linked = both >= threshold * union - 1e-9
+@dataclass
+class _Side:
+    """The classes of one block: digests, MinHash bands (classes, bands), set sizes, and what else a row carries."""
+
+    digest: list = field(default_factory=list)
+    bands: list = field(default_factory=list)
+    size: list = field(default_factory=list)
+    rest: list = field(default_factory=list)
+
+    def add(self, digest: bytes, bands: bytes, size: int, rest) -> None:
+        self.digest.append(digest)
+        self.bands.append(bands)
+        self.size.append(size)
+        self.rest.append(rest)
+
+
+def _meeting(left: _Side, right: _Side | None, band: int, threshold: float) -> np.ndarray:
+    """Which pairs of two blocks, or of one with itself, meet in this band first and have sizes that allow a link."""
+    table = lambda side: np.frombuffer(b"".join(side.bands), np.int64).reshape(len(side.digest), -1)
+    a, s = table(left), np.array(left.size, float)
+    b, t = (a, s) if right is None else (table(right), np.array(right.size, float))
+    out = np.minimum(s[:, None], t) >= threshold * np.maximum(s[:, None], t) - 1e-9
+    for earlier in range(band):
+        out &= a[:, earlier, None] != b[:, earlier]
     if right is None:
-        np.fill_diagonal(linked, False)
+        np.fill_diagonal(out, False)
+    return out
+
+
+def _roots(linked: np.ndarray, digest: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """(digest, least digest) of the rows that hang together by a symmetric link matrix, the least themselves left out."""
+    order = sorted(range(len(digest)), key=digest.__getitem__)
+    linked = linked[np.ix_(order, order)]
+    label, n = np.arange(len(order)), len(order)
+    while True:
+        new = np.minimum(label, np.where(linked, label, n).min(1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return [(digest[order[i]], digest[order[x]]) for i, x in enumerate(label.tolist()) if i != x]
+
+
+def _links(left: _Side, right: _Side | None, band: int, threshold: float) -> list[tuple]:
+    """(digest, links, other) rows of two blocks whose rows carry (copies, set), or of one block with itself."""
+    both = common([r[1] for r in left.rest], [r[1] for r in (right or left).rest])
+    union = np.array(left.size)[:, None] + np.array((right or left).size) - both
+    linked = _meeting(left, right, band, threshold) & (both >= threshold * union - 1e-9)
+    sides = [(left, right or left, linked)] + ([(right, left, linked.T)] if right else [])
     rows = []
-    for own, others, matrix in ((a, b, linked), (b, a, linked.T))[: 1 if right is None else 2]:
-        copies = np.array(others["copies"], np.int64)
-        links = matrix @ copies
-        # The least linked neighbour spans: two classes linked to each other hang together over the rows of both blocks.
-        rows += [(own["digest"][k], int(links[k]), None) for k in np.flatnonzero(matrix.any(1))]
-    root = _spanning(linked, right is None)
-    names = [*a["digest"], *(b["digest"] if right is not None else [])]
-    rows += [(names[x], 0, names[y]) for x, y in root]
-    return rows
-
-
-def _spanning(linked: np.ndarray, own: bool) -> list[tuple[int, int]]:
-    """A spanning forest's edges over the rows, and columns if they are others, of a link matrix."""
+    for own, others, matrix in sides:
+        links = matrix @ np.array([r[0] for r in others.rest], np.int64)
+        rows += [(own.digest[k], int(links[k]), None) for k in np.flatnonzero(matrix.any(1))]
+    if right is None:
+        return rows + [(x, 0, y) for x, y in _roots(linked, left.digest)]
     n, m = linked.shape
-    parent = list(range(n if own else n + m))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(linked)):
-        j = int(j) if own else n + int(j)
-        x, y = find(int(i)), find(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((int(i), j))
-    return out
+    whole = np.zeros((n + m, n + m), bool)
+    whole[:n, n:], whole[n:, :n] = linked, linked.T
+    return rows + [(x, 0, y) for x, y in _roots(whole, left.digest + right.digest)]
+
+
+def shared_buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(buckets, kept): digest, band, hash of all classes; and band, hash, blocks of the buckets to compare.
+
+    Of buckets of the same classes, told by two 64-bit sums, the first band's is kept: it is where their pairs meet first.
+    """
+    buckets = classes.select("digest", "size", F.posexplode("bands").alias("band", "hash"))
+    known = (F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
+    full = buckets.groupBy("band", "hash").agg(F.count("*").alias("m"), F.sum("size").alias("shingles"), *known).where("m > 1")
+    first = full.groupBy("m", "shingles", "x", "y").agg(F.min(F.struct("band", "hash")).alias("first"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return buckets.select("digest", "band", "hash"), durable(first.select("first.band", "first.hash", blocks.alias("blocks")))
+
+
+KEY = ("band", "hash", "a", "b")
+
+
+def _blocks(batches, side_of):
+    """(key, left, right or None) of each pair of blocks, from rows ordered by KEY and `other`; side_of adds a batch's rows."""
+    key, sides = None, None
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+        for i, add in side_of(batch):
+            if keys[i] != key:
+                if key is not None:
+                    yield key, sides[0], None if key[2] == key[3] else sides[1]
+                key, sides = keys[i], (_Side(), _Side())
+            add(sides)
+    if key is not None:
+        yield key, sides[0], None if key[2] == key[3] else sides[1]
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *KEY).sortWithinPartitions(*KEY)
+
+
+def needed(classes: DataFrame, threshold: float) -> DataFrame:
+    """KEY, other, digest, fetched (the representative's name), copies, size, bands: the classes with a partner to be compared in a pair of blocks."""
+    buckets, kept = shared_buckets(classes)
+    block, blocks = F.pmod(F.xxhash64("digest", F.lit(2)), F.col("blocks")).cast("int"), F.col("blocks")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(F.col("block"), x).alias("a"), F.greatest(F.col("block"), x).alias("b"), (F.col("block") > x).alias("other")))
+    placed = buckets.join(kept, ["band", "hash"]).withColumn("block", block)
+    carried = classes.select("digest", _fetched(F.col("row_id")), "copies", "size", F.col("bands").alias("all"))
+    packed = F.unhex(F.array_join(F.transform("all", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("bands")
+    rows = placed.join(carried, "digest").select("band", "hash", F.explode(pairs).alias("p"), "digest", "fetched", "copies", "size", packed)
+    rows = rows.select("band", "hash", "p.a", "p.b", "p.other", "digest", "fetched", "copies", "size", "bands")
+
+    def side_of(batch):
+        other, digest, name, copies, size, bands = (batch.column(i).to_pylist() for i in range(4, 10))
+        for i in range(len(digest)):
+            yield i, lambda sides, i=i: sides[other[i]].add(digest[i], bands[i], size[i], (name[i], copies[i]))
+
+    names = rows.columns
+
+    def run(batches):
+        out: list[tuple] = []
+        for key, left, right in _blocks(batches, side_of):
+            if not left.digest or (right is not None and not right.digest):
+                continue
+            meets = _meeting(left, right, key[0], threshold)
+            for other, side, wanted in ((False, left, meets.any(1)), (True, right, meets.any(0))):
+                if side is not None:
+                    out += [(*key, other, side.digest[i], *side.rest[i], side.size[i], side.bands[i]) for i in np.flatnonzero(wanted)]
+            if len(out) > 4096:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    return _dealt(rows).mapInArrow(run, rows.schema)
 
 
 def _fetched(row: Column) -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.hex(row))).alias("fetched")
 
 
-def verify(candidates: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
-    """digest, links, other: counts of verified links and spanning links among connected candidate classes.
-
-    candidates: digest, doc_id and row_id (its representative), size, copies, component. Classes of a component are dealt into
-    levels by set size, so that linked ones are on the same or the next level, and each level into blocks of about
-    BLOCK classes; a task compares two blocks.
-    """
-    spark = candidates.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    level = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
-    leveled = candidates.withColumn("level", level)
-    blocks = leveled.groupBy("component", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    above = blocks.select("component", (F.col("level") - 1).alias("level"), F.col("blocks").alias("above"))
-    below = blocks.select("component", (F.col("level") + 1).alias("level"), F.col("blocks").alias("below"))
-    deal = blocks.join(above, ["component", "level"], "left").join(below, ["component", "level"], "left")
-    dealt = leveled.join(deal, ["component", "level"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    side = lambda low, a, high, b: F.struct(F.col("level").alias("own_level"), F.col("block").alias("own_block"), low.alias("level"), a.cast("int").alias("a"), high.cast("int").alias("up"), b.cast("int").alias("b"))
-    here, block, zero = F.col("level"), F.col("block"), F.lit(0)
-    within = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda x: side(here, F.least(block, x), zero, F.greatest(block, x)))
-    up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(zero, F.col("above") - 1), lambda x: side(here, block, F.lit(1), x)))
-    down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(zero, F.col("below") - 1), lambda x: side(here - 1, x, F.lit(1), block)))
-    none = F.array().cast("array<struct<own_level:int,own_block:int,level:int,a:int,up:int,b:int>>")
-    meets = dealt.select(_fetched(F.col("row_id")), "digest", "copies", "component", F.concat(within, F.coalesce(up, none), F.coalesce(down, none)).alias("meets"))
+def verify(wanted: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """digest, links, other: counts of verified links, and links to the least class of those that hang together in two blocks."""
     # Texts without an id are fetched by the row's hash; of equal ones one is enough.
     named = texts.where("doc_id is not null").select(_fetched(row_id()), "text")
     unnamed = texts.where("doc_id is null").select(_fetched(row_id()), "text").dropDuplicates(["fetched"])
-    rows = meets.join(named.unionByName(unnamed), "fetched").select("digest", "copies", "component", F.explode("meets").alias("m"), "text")
-    keyed = rows.select("component", "m.level", "m.a", "m.up", "m.b", ((F.col("m.own_level") != F.col("m.level")) | ((F.col("m.up") == 0) & (F.col("m.own_block") != F.col("m.a")))).alias("other"), "digest", "copies", "text")
-    met = keyed.repartition(partitions, "component", "level", "a", "up", "b").sortWithinPartitions("component", "level", "a", "up", "b")
+    rows = wanted.join(named.unionByName(unnamed), "fetched").select(*KEY, "other", "digest", "copies", "size", "bands", "text")
+
+    def side_of(batch):
+        other, digest, copies, size, bands = (batch.column(i).to_pylist() for i in range(4, 9))
+        for g in groups(batch.column(9)):
+            window, offsets = shingles(g, n)
+            for j in range(g.n):
+                i, own = g.lo + j, window[offsets[j] : offsets[j + 1]]
+
+                def add(sides, i=i, own=own):
+                    side = sides[other[i]]
+                    # Rows of one id may hold other texts, or the same one again.
+                    if digest_of(own) == digest[i] and digest[i] not in side.digest:
+                        side.add(digest[i], bands[i], size[i], (copies[i], own.copy()))
+
+                yield i, add
 
     def run(batches):
-        key, sides = None, None
-
-        def flush():
-            if sides is None:
-                return
-            left, right = sides
-            single = key[3] == 0 and key[2] == key[4]
-            if not left["sets"] or not (single or right["sets"]):
-                return
-            found = _links(left, None if single else right, threshold)
+        for key, left, right in _blocks(batches, side_of):
+            if not left.digest or (right is not None and not right.digest):
+                continue
+            found = _links(left, right, key[0], threshold)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.int64(), pa.binary()))], names=["digest", "links", "other"])
 
-        for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
-            other, digest, copies = (batch.column(i).to_pylist() for i in (5, 6, 7))
-            for g in groups(batch.column(8)):
-                window, offsets = shingles(g, n)
-                for i in range(g.n):
-                    j = g.lo + i
-                    if keys[j] != key:
-                        yield from flush()
-                        key, sides = keys[j], [{"sets": [], "digest": [], "copies": []} for _ in range(2)]
-                    own, shingle_set = sides[bool(other[j])], window[offsets[i] : offsets[i + 1]]
-                    # Rows of one id may hold other texts, or the same one again.
-                    if digest[j] in own["digest"] or digest_of(shingle_set) != digest[j]:
-                        continue
-                    own["sets"].append(shingle_set.copy())
-                    own["digest"].append(digest[j])
-                    own["copies"].append(copies[j])
-        yield from flush()
-
-    return met.mapInArrow(run, "digest binary, links long, other binary")
+    return _dealt(rows).mapInArrow(run, "digest binary, links long, other binary")
 
 
 def classify(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
@@ -262,13 +327,8 @@ def classify(df: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall
         .agg(head, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
         .select("digest", "head.doc_id", "head.row_id", "copies", "size", "bands")
     )
-    buckets = classes.select("digest", F.posexplode("bands").alias("band", "hash"))
-    leaders = buckets.groupBy("band", "hash").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader < last").drop("last")
-    ties = buckets.join(leaders, ["band", "hash"]).where("digest <> leader").select(F.col("digest").alias("src"), F.col("leader").alias("dst")).distinct()
-    tied = durable(connected_components(ties))
-    candidates = classes.join(tied, classes["digest"] == tied["node"]).select("digest", "doc_id", "row_id", "size", "copies", "component")
-    whole = durable(candidates)
-    verified = durable(verify(whole, source, threshold, n))
+    wanted = durable(needed(classes, threshold))
+    verified = durable(verify(wanted, source, threshold, n))
     links = verified.groupBy("digest").agg(F.sum("links").alias("links"))
     spanning = verified.where("other is not null").select(F.col("digest").alias("src"), F.col("other").alias("dst"))
     joined = connected_components(spanning)

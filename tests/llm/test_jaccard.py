@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lexgrid.llm import jaccard
 
 
@@ -64,3 +66,28 @@ def test_rows_without_an_id_link(spark):
     rows = [(None, text(3)), (None, text(3)), (None, text(90)), (8, text(120)), (9, "quite another text of its own here"), (None, other), (None, other + " more"), (None, None)]
     got = sorted(map(str, (tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
     assert got == sorted(["(None, 8, 3)"] * 3 + ["(8, 8, 3)", "(9, 9, 0)"] + ["(None, None, 1)"] * 2 + ["(None, None, 0)"])
+
+
+def test_work_per_document_is_flat_in_a_chain(spark):
+    """Each text is like its next neighbours only, so all hang together, but none needs more than its neighbours."""
+    rng = random.Random(9)
+    words = [rng.choice("abcdefgh") + str(rng.randrange(100_000)) for _ in range(4000)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 100])) for i in range(600)]
+    sent = {}
+    for n in (60, 600):
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        sketched = jaccard.sketch(df.withColumn("row_id", jaccard.row_id()), 5, 24, 5)
+        classes = sketched.select("digest", "doc_id", "row_id", F.lit(1).cast("long").alias("copies"), "size", "bands")
+        sent[n] = jaccard.needed(classes, 0.8).count() / n
+        got = jaccard.join(df).collect()
+        assert {r.class_id for r in got} == {0} and all(2 <= r.n_links <= 4 for r in got[3:-3])
+    assert sent[600] < 1.2 * sent[60] and sent[600] < 24
+
+
+def test_large_texts_make_blocks_of_their_own(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(3000)) for _ in range(30_000)]
+    rows = [(i, " ".join([*base[: 900 * i], f"edit{i}", *base[900 * i + 1 :]])) for i in range(12)]
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 70_000)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, digest string")
+    assert sorted(map(tuple, jaccard.join(df).collect())) == [(i, 0, 11) for i in range(12)]
