@@ -17,8 +17,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     """node, component: the least node of its component, for every endpoint of an edge (directions ignored).
 
     Ids may be of any type that can be ordered; edges with a null end are ignored. Each round hangs larger neighbours
-    under the least one (two partial aggregations and two joins over the edges), is written to the shared folder, and
-    ends when nothing moves; the number of rounds grows with the logarithm of the longest path.
+    under the least one and ends when nothing moves; the number of rounds grows with the logarithm of the longest path.
+    Minima are written to the shared folder before they are joined back to the edges, so that Spark knows their size
+    and can split the edges of a hub among tasks.
     """
     pairs = durable(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"))
     nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -26,11 +27,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lower = durable(large)
-        small = lower.join(lower.groupBy("a").agg(F.min("b").alias("m")), "a")
-        e = durable(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        least = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        lower = durable(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = durable(lower.groupBy("a").agg(F.min("b").alias("m")))
+        small = lower.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = _state(e)
         if now == before:
             break
