@@ -8,6 +8,8 @@ always stay; candidates of further formats are added if they are owner-specific
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,32 @@ COPIED_OWNERS = 3
 LIVE_CHARACTERS = 8
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sums(x: Column) -> Column:
+    """Sums up to and with each place of an array. An array grows by copying, so n values go in about sqrt(n) blocks of sqrt(n)."""
+
+    def plain(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(part, start, lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["all"], F.array(s["at"] + v)).alias("all")), lambda s: s["all"])
+
+    def whole(x: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(x) - 1, width), lambda i: plain(F.slice(x, i + 1, width)))
+        return _let(blocks, lambda b: _let(plain(F.transform(b, lambda y: F.element_at(y, -1))), lambda ends: F.flatten(F.transform(b, lambda y, i: _shift(y, F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0)))))))
+
+    def _shift(y: Column, by: Column) -> Column:
+        return _let(by, lambda n: F.transform(y, lambda v: v + n))
+
+    return F.when(F.size(x) > 0, _let(x, whole)).otherwise(F.array().cast("array<int>"))
+
+
+_SPANS = "array<struct<start:int,stop:int,kind:string,value:string>>"
+
+
 def found(text: Column, kind: str) -> Column:
     """array<struct<start, stop, kind, value>> of one kind: leftmost matches without overlap, positions in code points.
 
@@ -57,19 +85,10 @@ def found(text: Column, kind: str) -> Column:
         # A key is the same under any line breaks and indents. A header without a key counts as itself.
         key = lambda v: F.regexp_replace(v, r"\\[nrt]|[^A-Za-z0-9+/=]", "")
         values = F.zip_with(matches, values, lambda m, v: F.when(F.length(key(v)) >= least, key(v)).otherwise(m))
-    place = F.aggregate(
-        F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(between, F.lit(1), F.size(matches)).alias("b")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>").alias("all")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-            F.when(
-                F.length(x["v"]) >= least,
-                F.concat(s["all"], F.array(F.struct((s["at"] + F.length(x["b"])).alias("start"), (s["at"] + F.length(x["b"]) + F.length(x["m"])).alias("stop"), F.lit(kind).alias("kind"), x["v"].alias("value")))),
-            ).otherwise(s["all"]).alias("all"),
-        ),
-        lambda s: s["all"],
-    )
-    return F.when(text.rlike(pattern), place).otherwise(F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>"))
+    stops = _sums(F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.length(b) + F.length(m)))
+    zipped = F.arrays_zip(matches.alias("m"), values.alias("v"), stops.alias("stop"))
+    spans = F.transform(zipped, lambda x: F.struct((x["stop"] - F.length(x["m"])).alias("start"), x["stop"].alias("stop"), F.lit(kind).alias("kind"), x["v"].alias("value")))
+    return F.when(text.rlike(pattern), F.filter(spans, lambda s: F.length(s["value"]) >= least)).otherwise(F.array().cast(_SPANS))
 
 
 def spans_text(spans: Column) -> Column:
@@ -103,7 +122,7 @@ def scan(df: DataFrame, repository: str = "doc_id", owner: str = "source") -> Da
     """
     scanned = durable(candidates(df, repository, owner))
     each = scanned.where(F.size("spans") > 0).select("doc_id", "row", "spans").dropDuplicates(["doc_id", "row"])
-    owned = ownership(scanned)
+    owned = durable(ownership(scanned))  # a table of known size, so that Spark can send it to all tasks or split a common value
     opened = each.select("doc_id", "row", F.explode("spans").alias("s")).withColumn("value", F.xxhash64(F.col("s.value")))
     live = ((F.col("repositories") < COPIED_REPOSITORIES) | (F.col("owners") < COPIED_OWNERS)) & (F.size(F.array_distinct(F.split(F.col("s.value"), ""))) >= LIVE_CHARACTERS)
     judged = (
