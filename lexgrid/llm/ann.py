@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample; every vector is put into a leaf. A query walks the tree with a priority queue
+The tree is fitted on a bounded sample; leaves that stand for too many vectors get a subtree each, fitted in a task of
+its own on a bounded sample of that leaf. Every vector is put into a leaf. A query walks the tree with a priority queue
 of branches, the one with the largest bound on an inner product first, and visits leaves until the number that
-calibration found enough for the target recall. Leaves are packed into shards of bounded size, a large leaf
-into several; a query is sent once to each shard that has a leaf of its visit.
+calibration found enough for the target recall. Leaves are packed into shards of bounded size, a large leaf into
+several; a query is sent once to each shard that has a leaf of its visit, and compared with those leaves only.
 
 Equal vectors are searched once: only the k + 1 smallest ids of a vector can be among anybody's k nearest, since ties
 go to the smaller id, so copies beyond them are dropped from the candidates, which loses no result.
@@ -12,8 +13,10 @@ go to the smaller id, so copies beyond them are dropped from the candidates, whi
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,15 +25,19 @@ from pyspark.sql import functions as F
 from lexgrid.runtime import durable
 
 K = 20
-#: Vectors the tree is fitted on, and those of them that calibrate the number of leaves.
+#: Vectors the tree is fitted on, and further ones that calibrate the number of leaves.
 SAMPLE, CALIBRATION = 16_384, 256
+#: A leaf that stands for more than SPLIT vectors is split by a subtree, fitted on about SPLIT_SAMPLE of them.
+SPLIT, SPLIT_SAMPLE = 4096, 2048
 BRANCHES, LEAF, ITERATIONS = 8, 48, 8
 #: Recall to calibrate for, on held queries against brute force over the sample.
 RECALL = 0.95
 #: Vectors of a shard: small neighbouring leaves share one, a large leaf has several.
-SHARD = 8192
-#: Queries compared with a shard at once.
-QUERIES = 512
+SHARD = 2048
+#: Queries compared with a shard at once, and queries of a shard that go to one task.
+QUERIES, QUERY_BLOCK = 512, 4096
+#: Answers of so many shards are merged at a time.
+MERGE = 32
 
 
 class Tree:
@@ -65,6 +72,28 @@ class Tree:
         self.leaf.append(-1)
         return len(self.centre) - 1
 
+    def graft(self, subtrees: dict[int, "Tree"]) -> None:
+        """Put a subtree in place of each of the given leaves; leaves get new numbers."""
+        centre, radius, first, number, leaf = [self.centre], [self.radius], [self.first], [self.number], [self.leaf]
+        at, nodes = {int(x): i for i, x in enumerate(self.leaf) if x >= 0}, len(self.centre)
+        for place, sub in sorted(subtrees.items()):
+            if sub.leaves < 2:
+                continue
+            move = nodes - 1  # the subtree's root becomes the leaf's node
+            node = at[place]
+            self.first[node], self.number[node], self.leaf[node] = sub.first[0] + move, sub.number[0], -1
+            centre.append(sub.centre[1:])
+            radius.append(sub.radius[1:])
+            first.append(np.where(sub.number[1:] > 0, sub.first[1:] + move, 0))
+            number.append(sub.number[1:])
+            leaf.append(sub.leaf[1:])
+            nodes += len(sub.centre) - 1
+        self.centre, self.radius, self.first, self.number, self.leaf = map(np.concatenate, (centre, radius, first, number, leaf))
+        ends = np.flatnonzero(self.number == 0)
+        self.leaf[:] = -1
+        self.leaf[ends] = np.arange(len(ends))
+        self.leaves = len(ends)
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector: down to the nearest centre at each level."""
         node = np.zeros(len(x), np.int64)
@@ -103,7 +132,10 @@ def _kmeans(x: np.ndarray, k: int, rng) -> np.ndarray:
 
 
 def calibrate(tree: Tree, sample: np.ndarray, queries: np.ndarray, k: int = K, recall: float = RECALL) -> int:
-    """The least number of leaves, doubling and then by halves, whose candidates hold `recall` of the k best of the sample."""
+    """The least number of leaves, widened by doubling and then narrowed, whose candidates hold `recall` of the k best of the sample.
+
+    The queries are no part of the sample, so that none finds itself.
+    """
     if tree.leaves <= 1 or not len(queries):
         return 1
     leaf = tree.assign(sample)
@@ -182,20 +214,33 @@ def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector:
     vectors = durable(distinct_vectors(rows, k + 1))
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates()
     # A bounded sample, the same at every run: the least hashes.
-    share = min(1.0, 1.1 * SAMPLE / max(1, vectors.count()))
+    total = vectors.count()
+    share = min(1.0, 1.1 * (SAMPLE + CALIBRATION) / max(1, total))
     h = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
-    taken = vectors.where(h < int(share * (1 << 30))).orderBy(h, "v").limit(SAMPLE).select("v")
+    taken = vectors.where(h < int(share * (1 << 30))).orderBy(h, "v").limit(SAMPLE + CALIBRATION).select("v")
     by_length: dict[int, list] = {}
     for v in (r.v for r in taken.toLocalIterator()):
         by_length.setdefault(len(v), []).append(v)
-    trees: dict[int, tuple[Tree, int, int]] = {}
-    offset = 0
+    fitted, held, large, offset = {}, {}, {}, 0
+    each = max(1.0, total / max(1, sum(map(len, by_length.values()))))  # vectors that one of the sample stands for
     for n, found in sorted(by_length.items()):
-        sample = np.array(found)
-        tree = Tree(sample)
-        trees[n] = (tree, calibrate(tree, sample, sample[:: max(1, len(sample) // CALIBRATION)], k, recall), offset)
+        # In order of their hashes the first ones are as random as any.
+        held[n] = np.array(found[: max(1, len(found) * CALIBRATION // (SAMPLE + CALIBRATION))])
+        sample = np.array(found[len(held[n]) :] or found)
+        fitted[n] = (Tree(sample), sample)
+        numbers = np.bincount(fitted[n][0].assign(sample), minlength=fitted[n][0].leaves) * each
+        large |= {(n, int(i)): SPLIT_SAMPLE / numbers[i] for i in np.flatnonzero(numbers > SPLIT)}
+    if large:
+        subtrees: dict[int, dict[int, Tree]] = {}
+        for n, leaf, sub in split(vectors, {n: t for n, (t, _) in fitted.items()}, large):
+            subtrees.setdefault(n, {})[leaf] = sub
+        for n, found in subtrees.items():
+            fitted[n][0].graft(found)
+    trees: dict[int, tuple[Tree, int, int]] = {}
+    for n, (tree, sample) in fitted.items():
+        trees[n] = (tree, calibrate(tree, sample, held[n], k, recall), offset)
         offset += tree.leaves
-    shared = spark.sparkContext.broadcast(trees)  # at most SAMPLE / LEAF nodes or so: bounded, whatever the table's size
+    shared = spark.sparkContext.broadcast(trees)  # bounded: SAMPLE bounds the leaves of the tree, SPLIT_SAMPLE those of each subtree
 
     def leaves_of(x: np.ndarray, query: bool) -> list:
         n = x.shape[1]
@@ -249,18 +294,23 @@ def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector:
 
     row = "shard long, v array<double>, ids array<long>, leaves array<long>"
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = asked.select("v").distinct().mapInArrow(route, row).unionByName(placed.mapInArrow(store, row))
-    met = both.repartition(partitions, "shard").sortWithinPartitions("shard", F.col("ids").isNull())
+    routed = durable(asked.select("v").distinct().mapInArrow(route, row))
+    # The queries of a shard are dealt into blocks, and its vectors go to each; a shard without queries goes nowhere.
+    blocks = durable(routed.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")))
+    asking = routed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    stored = placed.mapInArrow(store, row).join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = asking.unionByName(stored).select(F.struct("shard", "block").alias("key"), "v", "ids", "leaves")
+    met = both.repartition(partitions, "key").sortWithinPartitions("key", F.col("ids").isNull()).select(F.xxhash64("key").alias("key"), "v", "ids", "leaves")
 
     def meet(batches):
         """A shard's vectors come first and are held; its queries follow and are answered part by part."""
-        key, held, ids, leaf = None, [], [], []
+        key, held = None, []
         for batch in batches:
             shard = np.array(batch.column(0))
             change = np.flatnonzero(shard[1:] != shard[:-1]) + 1
             for lo, hi in zip([0, *change], [*change, len(shard)]):
                 if shard[lo] != key:
-                    key, held, ids, leaf = shard[lo], [], [], []
+                    key, held = shard[lo], []
                 part = batch.slice(lo, hi - lo)
                 is_vector = np.array(part.column(2).is_valid())
                 for n, at in _by_length(part.column(1)):
@@ -274,15 +324,45 @@ def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector:
                             same = [(n, np.concatenate([x[1] for x in same]), [i for x in same for i in x[2]], np.concatenate([x[3] for x in same]))]
                             held = [x for x in held if x[0] != n] + same
                         for i in range(0, len(asking) if same else 0, QUERIES):
-                            yield _best(asking.slice(i, QUERIES), *same[0][1:], k)
-
-    found = met.mapInArrow(meet, "v array<double>, ids array<long>, scores array<double>")
-    pairs = F.arrays_zip(F.col("scores").alias("score"), F.col("ids").alias("id"))
-    best = found.groupBy("v").agg(F.flatten(F.collect_list(pairs)).alias("all")).select("v", F.slice(F.array_sort(F.transform("all", lambda x: F.struct((-x["score"]).alias("minus"), x["id"].alias("id")))), 1, k + 1).alias("best"))
+                            yield _best(asking.slice(i, QUERIES), *same[0][1:], k, int(key % MERGE))
+
+    found = met.mapInArrow(meet, "v array<double>, ids array<long>, scores array<double>, part int")
+    pairs = F.transform(F.arrays_zip(F.col("scores").alias("score"), F.col("ids").alias("id")), lambda x: F.struct((-x["score"]).alias("minus"), x["id"].alias("id")))
+    merged = lambda best: F.slice(F.array_sort(F.flatten(F.collect_list(best))), 1, k + 1).alias("best")
+    # The answers of some shards are merged first, so that no row holds those of all.
+    some = found.groupBy("v", "part").agg(merged(pairs))
+    best = some.groupBy("v").agg(merged("best"))
     answered = asked.join(best, "v").select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("rank", "b"))
     return answered.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.minus")).alias("score"))
 
 
+def split(vectors: DataFrame, trees: dict[int, Tree], shares: dict[tuple[int, int], float]):
+    """(length, leaf, subtree) of each leaf in `shares`, fitted on that share of its vectors: those of the least hashes."""
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast((trees, shares))
+
+    def sampled(batches):
+        trees, shares = shared.value
+        for batch in batches:
+            for n, at in _by_length(batch.column(0)):
+                if n not in trees:
+                    continue
+                x, h = _matrix(batch.column(0).take(pa.array(at))), np.array(batch.column(1))[at]
+                leaf = trees[n].assign(x)
+                cut = np.array([shares.get((n, int(i)), 0.0) for i in leaf])
+                keep = np.flatnonzero(h < cut * (1 << 30))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), n)), pa.array(leaf[keep]), pa.array(list(x[keep]), pa.list_(pa.float64()))], names=["n", "leaf", "v"])
+
+    def fit(key, rows):
+        sample = np.stack([v for _, v in sorted((v.tobytes(), v) for v in (np.asarray(x, np.float64) for x in rows["v"]))])
+        return pd.DataFrame([[int(key[0]), int(key[1]), pickle.dumps(Tree(sample))]], columns=["n", "leaf", "tree"])
+
+    h = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 30)).alias("h")
+    rows = vectors.select("v", h).mapInArrow(sampled, "n long, leaf long, v array<double>").groupBy("n", "leaf").applyInPandas(fit, "n long, leaf long, tree binary")
+    for r in rows.toLocalIterator():
+        yield r["n"], r["leaf"], pickle.loads(r["tree"])
+
+
 def pack(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
     """(first shard, number of shards) of each leaf: leaves in order share a shard up to SHARD vectors; a larger leaf has its own."""
     out, shard, held = {}, 0, 0
@@ -299,8 +379,8 @@ def pack(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def _best(asking: pa.RecordBatch, vectors: np.ndarray, ids: list, leaf: np.ndarray, k: int) -> pa.RecordBatch:
-    """v, ids, scores: of each query the k + 1 best ids among the vectors of its leaves.
+def _best(asking: pa.RecordBatch, vectors: np.ndarray, ids: list, leaf: np.ndarray, k: int, part: int) -> pa.RecordBatch:
+    """v, ids, scores, part: of each query the k + 1 best ids among the vectors of its leaves.
 
     A matrix product picks the candidates; their scores are then summed pair by pair, so that a pair scores the same
     in any shard.
@@ -314,7 +394,10 @@ def _best(asking: pa.RecordBatch, vectors: np.ndarray, ids: list, leaf: np.ndarr
     at = np.minimum(at, len(known) - 1)
     good = known[at] == np.array(lists.flatten())
     wanted[owner[good], at[good]] = True
-    rough = np.where(wanted[:, place], q @ vectors.T, -np.inf)
+    rough = np.full((len(q), len(vectors)), -np.inf)
+    for i in np.flatnonzero(wanted.any(0)):
+        rows, columns = np.flatnonzero(wanted[:, i]), np.flatnonzero(place == i)
+        rough[np.ix_(rows, columns)] = q[rows] @ vectors[columns].T
     keep = min(k + 1, len(vectors))
     cut = np.partition(rough, rough.shape[1] - keep, axis=1)[:, rough.shape[1] - keep]
     out_ids, out_scores = [], []
@@ -324,4 +407,4 @@ def _best(asking: pa.RecordBatch, vectors: np.ndarray, ids: list, leaf: np.ndarr
         chosen = sorted((-s, x) for s, j in zip(exact.tolist(), near.tolist()) for x in ids[j])[: k + 1]
         out_ids.append([x for _, x in chosen])
         out_scores.append([-s for s, _ in chosen])
-    return pa.RecordBatch.from_arrays([asking.column(1), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))], names=["v", "ids", "scores"])
+    return pa.RecordBatch.from_arrays([asking.column(1), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64())), pa.array([part] * len(out_ids), pa.int32())], names=["v", "ids", "scores", "part"])

@@ -48,3 +48,33 @@ def test_odd_vectors_copies_and_few_candidates(spark):
     assert [i for _, i in sorted(got[200])] == list(range(20))
     assert ann.search(df.where("vec_id in (0, 1)"), F.col("vec_id") % 20 == 0).count() == 1
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_large_leaves_are_split_and_queries_dealt(spark, monkeypatch):
+    for name, value in dict(SAMPLE=400, CALIBRATION=40, SPLIT=100, SPLIT_SAMPLE=80, SHARD=150, QUERY_BLOCK=20, MERGE=3).items():
+        monkeypatch.setattr(ann, name, value)
+    grafted = []
+    graft = ann.Tree.graft
+    monkeypatch.setattr(ann.Tree, "graft", lambda self, found: (graft(self, found), grafted.append(len(found))))
+    x, short = _data(), _data(300, 5)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(5000 + i, [float(a) for a in v]) for i, v in enumerate(short)] + [(9000, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert max(grafted) > 3
+    want = {**_brute(rows[:3000], 20), **_brute(rows[3000:3300], 20)}
+    assert set(got.query_id) == set(want) and len(got) == 20 * len(want)  # the only vector of length one has no candidate
+    hits = sum(len(set(part.vec_id) & {i for _, i in want[q]}) for q, part in got.groupby("query_id"))
+    assert hits / (20 * len(want)) >= 0.9
+    assert all((r.query_id < 5000) == (r.vec_id < 5000) for r in got.itertuples())
+
+
+def test_grafted_tree_assigns_and_visits_every_leaf_once():
+    x = _data(2000).astype(float)
+    tree = ann.Tree(x[:300])
+    leaf = tree.assign(x)
+    subtrees = {int(i): ann.Tree(x[leaf == i]) for i in np.unique(leaf) if (leaf == i).sum() > 60}
+    before = tree.leaves
+    tree.graft(subtrees)
+    assert tree.leaves == before + sum(t.leaves - 1 for t in subtrees.values()) > before
+    assert sorted(tree.visit(x[0], tree.leaves)) == list(range(tree.leaves))
+    assert set(tree.assign(x)) <= set(range(tree.leaves)) and np.bincount(tree.assign(x)).max() < 2 * ann.LEAF + 60
