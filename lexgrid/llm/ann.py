@@ -33,7 +33,7 @@ BRANCHES, LEAF, ITERATIONS = 8, 48, 8
 #: Recall to calibrate for, on held queries against brute force over the sample.
 RECALL = 0.95
 #: Vectors of a shard: small neighbouring leaves share one, a large leaf has several.
-SHARD = 2048
+SHARD = 4096
 #: Queries compared with a shard at once, and queries of a shard that go to one task.
 QUERIES, QUERY_BLOCK = 512, 4096
 #: Answers of so many shards are merged at a time.
@@ -294,7 +294,7 @@ def search(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector:
 
     row = "shard long, v array<double>, ids array<long>, leaves array<long>"
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = durable(asked.select("v").distinct().mapInArrow(route, row))
+    routed = durable(asked.select("v").distinct().repartition(partitions, "v").mapInArrow(route, row))
     # The queries of a shard are dealt into blocks, and its vectors go to each; a shard without queries goes nowhere.
     blocks = durable(routed.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")))
     asking = routed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
