@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.llm.words import buffers, ranges
+from lexgrid.runtime import durable
 
 HIDDEN = 8
 #: The bounded training sample: labelled rows (those of the least hashes), windows of each, and characters in a window.
@@ -171,12 +172,14 @@ class BiGRU:
         owner = np.repeat(np.arange(len(lengths)), number)
         start = offsets[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * SEGMENT
         have = np.minimum(SEGMENT, offsets[owner + 1] - start)
-        at = start[None, :] + np.arange(SEGMENT)[:, None]
-        inside = np.arange(SEGMENT)[:, None] < have[None, :]
-        x = np.where(inside, data[np.minimum(at, len(data) - 1)], np.uint8(32))
-        prob = self.positions(x)
-        prob *= inside[:, :, None]
-        by_segment = prob.sum(0, dtype=np.float64)
+        by_segment = np.empty((len(owner), len(self.labels)))
+        for lo in range(0, len(owner), GROUP // SEGMENT):  # a long text is run in parts
+            part = slice(lo, lo + GROUP // SEGMENT)
+            at = start[None, part] + np.arange(SEGMENT)[:, None]
+            inside = np.arange(SEGMENT)[:, None] < have[None, part]
+            prob = self.positions(np.where(inside, data[np.minimum(at, len(data) - 1)], np.uint8(32)))
+            prob *= inside[:, :, None]
+            by_segment[part] = prob.sum(0, dtype=np.float64)
         sums = np.stack([np.bincount(owner, by_segment[:, c], len(lengths)) for c in range(len(self.labels))], 1)
         return sums / np.maximum(lengths, 1)[:, None]
 
@@ -198,24 +201,28 @@ def remainder():
 def train(df: DataFrame, rows: int = TRAIN_ROWS) -> BiGRU | None:
     """A network for the languages of a bounded sample of the labelled rows that are not held out; None without any.
 
-    The sample is the `rows` rows with the least hashes of their id, of which WINDOWS windows each come to the driver.
+    Each language gets an equal part of `rows`, its rows with the least hashes of their id; with more languages than
+    rows the most frequent ones are learned. WINDOWS windows of each row come to the driver.
     """
     length = F.length("text")
     start = lambda i: (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(length - WINDOW_CHARS, F.lit(1))) + 1).cast("int")
     windows = F.array(*[F.substring(F.col("text"), start(i), F.lit(WINDOW_CHARS)) for i in range(WINDOWS)])
-    usable = df.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, 1.3 * rows / max(1, usable.count()))
+    usable = df.where((remainder() != 0) & F.col("lang").isNotNull() & (length > 0)).select("doc_id", "lang", "text")
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
+    if not counts:
+        return None
+    part = rows // len(counts)
     # Cut by hash before sorting: else each task would send as many rows as the whole sample has.
-    sample = (
-        usable.where((length > 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-        .select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"), "doc_id", windows.alias("windows"))
-        .orderBy("h", "doc_id", "lang", "windows")
-        .limit(rows)
-        .collect()
-    )
+    cut = {r["lang"]: int(min(1.0, 1.3 * part / r["count"] + 30 / r["count"]) * (1 << 30)) for r in counts}
+    shares = durable(df.sparkSession.createDataFrame(list(cut.items()), "lang string, cut long"))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = usable.join(shares, "lang").where(h < F.col("cut")).select("lang", h.alias("h"), "doc_id", windows.alias("windows"))
+    sample, taken = [], dict.fromkeys(cut, 0)
+    for r in sorted(near.collect(), key=lambda r: (r.h, r.doc_id is None, r.doc_id or 0, r.lang, r.windows)):
+        if taken[r.lang] < part:
+            taken[r.lang] += 1
+            sample.append(r)
     labels = sorted({r.lang for r in sample})
-    if not labels:
-        return None
     pairs = [(w.encode(), labels.index(r.lang)) for r in sample for w in r.windows if _LETTER.search(w)]
     pairs += [(b" ", i) for i in range(len(labels)) if i not in {y for _, y in pairs}]
     return BiGRU(labels).fit([w for w, _ in pairs], np.array([y for _, y in pairs]))
@@ -224,8 +231,9 @@ def train(df: DataFrame, rows: int = TRAIN_ROWS) -> BiGRU | None:
 def predict(df: DataFrame, model: BiGRU | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of df (doc_id, text).
 
-    score is the document's probability of lang_pred. A null text, one without a letter, and every text when nothing
-    was learned, is `und` with score 0. A null doc_id is neither learned from nor held out.
+    score is the document's probability of lang_pred; of equally likely languages the first by code point is taken. A
+    null text, one without a letter, and every text when nothing was learned, is `und` with score 0. A null doc_id is
+    neither learned from nor held out. A text of any length is run in parts of bounded size.
     """
 
     def run(batches):

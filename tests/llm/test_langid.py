@@ -48,6 +48,8 @@ def test_folded_run_equals_forward_pass_and_pools_positions():
 
 def test_held_out_accuracy_and_odd_rows(spark):
     rows = _rows(900) + [(5000, None, "aa", "x"), (5001, "", "aa", "x"), (5002, "123 !?", "aa", "x"), (None, "the of and the of", "bb", "x"), (5003, "la de que", None, "x"), (5003, "la de que", None, "x")]
+    rare = [i for i in range(7000, 7100) if zlib.crc32(str(i).encode()) % 5][:3]
+    rows += [(i, "жук лес мир ночь " * 5, "rare", "x") for i in rare] + [(6000, "лес мир " * 200_000, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     got = langid.identify(df).collect()
     assert len(got) == len(rows)
@@ -57,6 +59,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(by_id[i].held_out == (i in set(held)) for i in truth)
     assert sum(by_id[i].lang_pred == truth[i] for i in held) >= 0.95 * len(held)
     assert all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (5000, 5001, 5002))
+    assert by_id[6000].lang_pred == "rare"  # a language of three rows is learned, and a long text read whole
     assert by_id[None].lang_pred in WORDS and by_id[None].held_out is False
     assert all(0 <= r.score <= 1 for r in got)
     assert langid.identify(df.limit(0)).count() == 0
