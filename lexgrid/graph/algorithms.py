@@ -67,8 +67,8 @@ def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, directed: bool = True, scale: float = 1.0) -> DataFrame:
-    """id, score: Brandes' dependencies summed over the pivots (column id), all pivots' searches side by side.
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, directed: bool = True, scale: float = 1.0, batch: int = 20_000) -> DataFrame:
+    """id, score: Brandes' dependencies summed over the pivots (column id), the searches of about `batch` pivots side by side.
 
     Forward, one join a level counts shortest paths per (pivot, node); backward, one join a level gathers
     dependencies. Parallel edges count as one. scale multiplies the sum, for estimates from a share of the nodes.
@@ -77,6 +77,22 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, directed:
     if not directed:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = durable(links.distinct())
+    starts = durable(pivots.select("id").distinct())
+    number = max(1, -(-starts.count() // batch))
+    sums = None
+    for i in range(number):
+        total = _dependencies(links, starts if number == 1 else starts.where(F.pmod(F.xxhash64("id"), F.lit(number)) == i))
+        if total is not None:
+            part = durable(total.groupBy("id").agg(F.sum("dependency").alias("dependency")))
+            sums = part if sums is None else sums.unionByName(part)
+    if sums is None:
+        return nodes.select("id", F.lit(0.0).alias("score"))
+    sums = sums.groupBy("id").agg((F.sum("dependency") * F.lit(scale)).alias("score"))
+    return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _dependencies(links: DataFrame, pivots: DataFrame) -> DataFrame | None:
+    """id, dependency: once for each pivot's search that reaches a node. A level is written once."""
     front = durable(pivots.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("paths")))
     seen, levels = front.select("pivot", "id"), [front]
     while True:
@@ -85,20 +101,18 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, directed:
         if front.isEmpty():
             break
         levels.append(front)
-        seen = durable(seen.unionByName(front.select("pivot", "id")))
+        seen = seen.unionByName(front.select("pivot", "id"))
     total, below = None, None
-    for level in reversed(levels[1:]):
+    for i in range(len(levels) - 1, 0, -1):
+        level = levels[i]
         own = level.withColumn("dependency", F.lit(0.0)) if below is None else level.join(below, ["pivot", "id"], "left").select("pivot", "id", "paths", F.coalesce("dependency", F.lit(0.0)).alias("dependency"))
         own = durable(own)
         part = own.select("id", "dependency")
         total = part if total is None else total.unionByName(part)
-        above = levels[levels.index(level) - 1].select("pivot", F.col("id").alias("up"), F.col("paths").alias("up_paths"))
+        above = levels[i - 1].select("pivot", F.col("id").alias("up"), F.col("paths").alias("up_paths"))
         back = own.join(links, own["id"] == links["dst"]).join(above, (F.col("src") == F.col("up")) & (own["pivot"] == above["pivot"]))
         below = back.groupBy(own["pivot"].alias("pivot"), F.col("up").alias("id")).agg(F.sum(F.col("up_paths") / F.col("paths") * (1.0 + F.col("dependency"))).alias("dependency"))
-    if total is None:
-        return nodes.select("id", F.lit(0.0).alias("score"))
-    sums = total.groupBy("id").agg((F.sum("dependency") * F.lit(scale)).alias("score"))
-    return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return total
 
 
 def hashed_pivots(nodes: DataFrame, number: int, seed: int = 42) -> DataFrame:
@@ -192,7 +206,7 @@ def _quality(both: DataFrame, parts: DataFrame, loops: DataFrame | None, total:
     return inside / total - squares / (4 * total * total)
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: strongly connected components by colouring.
 
     Nodes without edges in or out are trimmed; each other node gets the largest id that reaches it; nodes that reach
@@ -201,7 +215,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) ->
     left = durable(nodes.select("id"))
     links = durable(edges.where("src <> dst").select("src", "dst").distinct())
     done = None
-    for _ in range(rounds):
+    while True:
         while True:
             alive = left.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
             alive = durable(alive)

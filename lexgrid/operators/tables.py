@@ -31,7 +31,7 @@ def top_per_group(df: DataFrame, group: list[str], n: int, *order: Column) -> Da
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by the least hash of key and seed: random, and the same at every run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def first_rows(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -112,9 +112,9 @@ def multilabel_f1(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def tfidf(tokens: DataFrame, vocabulary: int = 1000) -> DataFrame:
     """id, term, weight: tf * (ln((1 + n) / (1 + df)) + 1), each id's weights of length 1, over the most frequent terms. tokens: id, term."""
-    counts = tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counts = durable(tokens.groupBy("id", "term").agg(F.count("*").alias("tf")))  # read three times
     terms = counts.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(vocabulary)
-    n = F.broadcast(tokens.agg(F.countDistinct("id").alias("n")))  # one row
+    n = F.broadcast(counts.agg(F.countDistinct("id").alias("n")))  # one row
     weighed = counts.join(F.broadcast(terms), "term").join(n).withColumn("raw", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))  # at most `vocabulary` terms
     norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return weighed.join(norm, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"))

@@ -199,7 +199,7 @@ def top_per_group(t: Tables) -> DataFrame:
     return O.top_per_group(counts, ["validity"], 3, F.desc("n"), F.col("type_law")).withColumnRenamed("rank", "place")
 
 
-@query("o8_sample")
+@query("o8_sample", " select id as law, validity from laws order by md5(id::varchar || ':42'), id limit 20")
 def sample(t: Tables) -> DataFrame:
     return O.sample(t.laws, "id", 20).select(F.col("id").alias("law"), "validity")
 
@@ -209,6 +209,22 @@ def exists(t: Tables) -> DataFrame:
     return t.edges.where("rel_type = 'R'").limit(1).agg((F.count("*") > 0).alias("found"))
 
 
+@query("p1_projection", " select id as nodeId, validity as status, type_law as lawType, published as datePublished, year(published) as publishedYear, customer as owner, type_law || ' ' || id as title from laws")
+def projection(t: Tables) -> DataFrame:
+    return t.laws.select(F.col("id").alias("nodeId"), F.col("validity").alias("status"), F.col("type_law").alias("lawType"), F.col("published").alias("datePublished"), F.year("published").cast("bigint").alias("publishedYear"), F.col("customer").alias("owner"), F.concat_ws(" ", "type_law", "id").alias("title"))
+
+
+@query("o3_sorted_head", " select id as law, published from laws order by published desc, id limit 25")
+def sorted_head(t: Tables) -> DataFrame:
+    return t.laws.orderBy(F.desc("published"), "id").limit(25).select(F.col("id").alias("law"), "published")
+
+
+@query("u6_set_statements", " select 'both' as side, src as law from (select src from edges intersect select dst from edges) union all select 'citing only', src from (select src from edges except select dst from edges)")
+def set_statements(t: Tables) -> DataFrame:
+    citing, cited = t.edges.select(F.col("src").alias("law")), t.edges.select(F.col("dst").alias("law"))
+    return citing.intersect(cited).select(F.lit("both").alias("side"), "law").unionByName(citing.subtract(cited).select(F.lit("citing only").alias("side"), "law"))
+
+
 @query("sparql_optional_coalesce", "select id as law, coalesce(cast(c.dst as varchar), 'none') as next, validity from laws left join chain c on id = c.src where type_law like '1%' order by id desc limit 100")
 def sparql(t: Tables) -> DataFrame:
     """SELECT with a triple join, OPTIONAL, COALESCE, STRSTARTS, ORDER BY DESC and LIMIT over a triples table (s, p, o)."""
@@ -267,10 +283,10 @@ def verdicts(t: Tables) -> DataFrame:
 
 @query("g5_betweenness_sampled")
 def betweenness(t: Tables) -> DataFrame:
-    """Sampled as in the graph library: a share of the nodes as pivots, here of the sparse graph."""
+    """Sampled: a tenth of the nodes as pivots, here of the sparse graph."""
     laws = t.laws
-    pivots = G.hashed_pivots(laws, max(1, laws.count() // 100))
-    return G.betweenness(laws, t.chain, pivots, scale=100.0).select(F.col("id").alias("law"), "score")
+    pivots = G.hashed_pivots(laws, max(1, laws.count() // 10))
+    return G.betweenness(laws, t.chain, pivots, scale=10.0).select(F.col("id").alias("law"), "score")
 
 
 @query("g6_betweenness_exact", ", ranked as (select id as law, cast(row_number() over (partition by customer order by id) - 1 as double) as a, cast(count(*) over (partition by customer) as double) as n from laws) select law, round(a * (n - 1 - a), 6) as score from ranked")
@@ -280,9 +296,17 @@ def betweenness_exact(t: Tables) -> DataFrame:
     return G.betweenness(laws, t.chain, laws).select(F.col("id").alias("law"), F.round("score", 6).alias("score"))
 
 
-@query("g7_eigenvector")
+def _eigenvector_sql(rounds: int) -> str:
+    """Steps x + Ax, with one normalisation at the end, since each step is linear."""
+    steps = [", links as materialized (select src, dst, cast(count(*) as double) as n from edges group by 1, 2), e0 as (select id, 1.0::double as score from laws)"]
+    for i in range(rounds):
+        steps.append(f", e{i + 1} as materialized (select r.id, r.score + coalesce(g.got, 0.0) as score from e{i} r left join (select dst, sum(r.score * n) as got from links join e{i} r on src = r.id group by 1) g on r.id = g.dst)")
+    return "".join(steps)
+
+
+@query("g7_eigenvector", _eigenvector_sql(12) + " select id as law, round(score / (select sqrt(sum(score * score)) from e12), 9) as score from e12")
 def eigenvector(t: Tables) -> DataFrame:
-    return G.eigenvector(t.laws, t.edges, 12).select(F.col("id").alias("law"), "score")
+    return G.eigenvector(t.laws, t.edges, 12).select(F.col("id").alias("law"), F.round("score", 9).alias("score"))
 
 
 @query("g9_louvain")

@@ -369,10 +369,10 @@ def top_phrases(t: Tables) -> DataFrame:
     return C.phrase_counts(rows, "doc_id", "phrases")
 
 
-@query("a29_tfidf", "with w as (select doc_id as id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 1)) as term from documents), c as (select id, term, count(*) as tf from w group by 1, 2), v as (select term, sum(tf) as a, count(*) as df from c group by 1 order by a desc, term limit 200), n as (select cast(count(distinct id) as double) as n from w), x as (select id, term, tf * (ln((1 + n) / (1.0::double + df)) + 1) as raw from c join v using (term), n) select id as doc_id, term, round(raw / sqrt(sum(raw * raw) over (partition by id)), 8) as weight from x", tables=False)
+@query("a29_tfidf", "with w as (select doc_id as id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 1)) as term from documents), c as (select id, term, count(*) as tf from w group by 1, 2), v as (select term, sum(tf) as a, count(*) as df from c group by 1 order by a desc, term limit 1000), n as (select cast(count(distinct id) as double) as n from w), x as (select id, term, tf * (ln((1 + n) / (1.0::double + df)) + 1) as raw from c join v using (term), n) select id as doc_id, term, round(raw / sqrt(sum(raw * raw) over (partition by id)), 8) as weight from x", tables=False)
 def tfidf(t: Tables) -> DataFrame:
     tokens = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 1)).alias("term"))
-    return O.tfidf(tokens, 200).select(F.col("id").alias("doc_id"), "term", F.round("weight", 8).alias("weight"))
+    return O.tfidf(tokens, 1000).select(F.col("id").alias("doc_id"), "term", F.round("weight", 8).alias("weight"))
 
 
 @query("a30_topics", "select p_partkey as part, unnest(list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda x: trim(x))) as topic from part", tables=False)

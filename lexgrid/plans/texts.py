@@ -410,7 +410,7 @@ def sections(t: Tables) -> DataFrame:
     return whole.groupBy("doc").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"\bbody\b"), F.lit(0)))).alias("n_spans"))
 
 
-@query("x10_xml_sections")
+@query("x10_xml_sections", "select n_nationkey as k, 'a1' as id, 'Art. 1' as title, n_name || ' x' as text, '/x' as refs from nation", tables=False)
 def xml_sections(t: Tables) -> DataFrame:
     body = F.concat(F.lit('<akomaNtoso><body><article eId="a1"><num>Art. 1</num><p>'), F.regexp_replace("n_name", "&", ""), F.lit(' <ref href="/x">x</ref></p></article></body></akomaNtoso>'))
     return xml.sections(t.nation.select(F.col("n_nationkey").alias("k"), body.alias("xml"))).select("k", F.explode("sections").alias("s")).select("k", "s.id", "s.title", "s.text", F.array_join("s.references", ",").alias("refs"))
@@ -423,7 +423,7 @@ def xml_metadata(t: Tables) -> DataFrame:
     return xml.metadata(t.nation.select(F.col("n_nationkey").alias("k"), source.alias("xml"))).select("k", "law_url", "decision_date")
 
 
-@query("f26_markup_text")
+@query("f26_markup_text", "select n_nationkey as k, n_name || ' x' || chr(10) || 'end' as text from nation", tables=False)
 def markup_text(t: Tables) -> DataFrame:
     source = F.concat(F.lit("<doc><p>"), "n_name", F.lit(" <b>x</b></p><authorialNote>n</authorialNote><p>end</p></doc>"))
     return xml.text(t.nation.select(F.col("n_nationkey").alias("k"), source.alias("xml"))).select("k", "text")

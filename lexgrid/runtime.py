@@ -28,12 +28,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             found = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             found = tempfile.mkdtemp(prefix="lexgrid-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)

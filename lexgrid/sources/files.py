@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexgrid.functions import text as T
 from lexgrid.operators.documents import PAGES
+from lexgrid.runtime import durable
 
 LAW = "act string, title_it string, title_fr string, title_de string, publicationDate string, decisionDate string, entryintoforceDate string, nolongerinforceDate string, status string, typeDoc_it string, typeDoc_fr string, typeDoc_de string, ruLabel string, roLabel string, asLabel string"
 REFERENCE = "struct<id:string,fn_number:string,type:string,text:string>"
@@ -121,8 +122,11 @@ def search_hits(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with _row: the rows' order, for first- and last-write-wins. Ranges are numbered in parallel, then offset."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """df with _row: the rows' order, for first- and last-write-wins. Ranges are numbered in parallel, then offset.
+
+    The ranges come from a sample, so the rows are written with theirs before they are counted and numbered.
+    """
+    ranged = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     before = inside.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = before.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row a partition

@@ -27,9 +27,12 @@ def markdown_lines(flat: DataFrame) -> DataFrame:
 
 
 def report(title: str, df: DataFrame, limit: int = 200) -> str:
-    """A text report of a small table, at most `limit` rows."""
-    rows = df.limit(limit).collect()
-    return "\n".join([title, "=" * len(title), "\t".join(df.columns), *("\t".join("" if v is None else str(v) for v in r) for r in rows)])
+    """A text report of a small table: its first `limit` rows, and a line with the number of those left out."""
+    rows = df.limit(limit + 1).collect()
+    lines = ["\t".join("" if v is None else str(v) for v in r) for r in rows[:limit]]
+    if len(rows) > limit:
+        lines.append(f"({df.count() - limit} more rows)")
+    return "\n".join([title, "=" * len(title), "\t".join(df.columns), *lines])
 
 
 class SnapshotStore:
@@ -44,7 +47,7 @@ class SnapshotStore:
     def save(self, run: str, tables: dict[str, DataFrame]) -> None:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/run={run}")
-        row = json.dumps({"run": run, "tables": sorted(tables)})
+        row = json.dumps({"run": run, "tables": sorted(tables), "order": len(self.runs())})
         self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/_manifest")
 
     def runs(self) -> list[dict]:
@@ -54,9 +57,9 @@ class SnapshotStore:
             if "PATH_NOT_FOUND" in str(e):
                 return []
             raise
-        return sorted((json.loads(r["value"]) for r in rows), key=lambda r: r["run"])
+        return sorted((json.loads(r["value"]) for r in rows), key=lambda r: (r["order"], r["run"]))
 
     def load(self, name: str, run: str | None = None) -> DataFrame:
-        """A table of a run, of the latest one by default."""
-        run = run or max(r["run"] for r in self.runs() if name in r["tables"])
+        """A table of a run, by default of the one saved last, whatever its name."""
+        run = run or [r["run"] for r in self.runs() if name in r["tables"]][-1]
         return self.spark.read.parquet(f"{self.root}/{name}/run={run}")

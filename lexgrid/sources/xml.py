@@ -23,30 +23,32 @@ def _name(e: ET.Element) -> str:
 def markup_text(e: ET.Element, stop: set[str] = frozenset()) -> str:
     """Text with a line for each block element; notes, and elements named in `stop`, are left out."""
     out: list[str] = []
-
-    def walk(x: ET.Element, top: bool) -> None:
+    todo: list[ET.Element | str] = [e]  # elements to enter, and text to write after them
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
         name = _name(x)
-        if not top and (name in SKIPPED or name in stop):
-            return
-        if name in BLOCKS:
-            out.append("\n")
-        out.append((x.text or "").replace("\n", " "))
-        for child in x:
-            walk(child, False)
-            out.append((child.tail or "").replace("\n", " "))
-        if name in BLOCKS:
-            out.append("\n")
-
-    walk(e, True)
+        if x is not e and (name in SKIPPED or name in stop):
+            continue
+        line = "\n" if name in BLOCKS else ""
+        out.append(line + (x.text or "").replace("\n", " "))
+        todo.append(line)
+        for child in reversed(x):
+            todo += [(child.tail or "").replace("\n", " "), child]
     lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def _unit(e: ET.Element) -> dict:
-    nested = {c for c in e.iter() if c is not e and _name(c) in LEVELS}
-    inner = {d for c in nested for d in c.iter()}
     heads = [c for c in e if _name(c) in ("num", "heading")]
-    hrefs = [c.get("href") for c in e.iter() if _name(c) == "ref" and c.get("href") and c not in inner]
+    hrefs, todo = [], [e]
+    while todo:  # in document order, without the levels inside
+        x = todo.pop()
+        if _name(x) == "ref" and x.get("href"):
+            hrefs.append(x.get("href"))
+        todo += [c for c in reversed(x) if _name(c) not in LEVELS]
     return {"id": e.get("eId") or e.get("id") or "", "title": " ".join(filter(None, (markup_text(h).replace("\n", " ") for h in heads))), "text": markup_text(e, LEVELS | {"num", "heading"}), "references": list(dict.fromkeys(hrefs))}
 
 

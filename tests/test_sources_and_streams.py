@@ -50,6 +50,21 @@ def test_snapshots(spark, tmp_path):
     store.save("1", {"t": spark.range(1)})
     store.save("2", {"t": spark.range(2)})
     assert store.load("t").count() == 2 and store.load("t", "1").count() == 1
+    store.save("10", {"t": spark.range(10)})
+    assert store.load("t").count() == 10
+    store.save("9", {"t": spark.range(9)})
+    assert store.load("t").count() == 9
+
+
+def test_report_says_what_it_leaves_out(spark):
+    text = sinks.report("Numbers", spark.range(5), 3)
+    assert text.splitlines()[2:] == ["id", "0", "1", "2", "(2 more rows)"]
+    assert "more" not in sinks.report("Numbers", spark.range(3), 3)
+
+
+def test_deep_markup():
+    deep = "<a>" + "<level>" * 5000 + "<p>x</p>" + "</level>" * 5000 + "</a>"
+    assert xml.parse_sections(deep)[-1]["text"] in ("", "x") and len(xml.parse_sections(deep)) == 5000
 
 
 def test_stream_upsert_and_windows(spark, tmp_path):
