@@ -80,12 +80,12 @@ def record_repair(t: Tables) -> DataFrame:
     return files.repaired_records(lines, "conv_id", "turn")
 
 
-@query("s8_json_documents", "select doc_id || '.json' as name, lang as category, n_chars from documents where doc_id < 50", tables=False)
+@query("s8_json_documents", "select doc_id || '.json' as name, lang as category, n_chars from documents", tables=False)
 def json_documents(t: Tables) -> DataFrame:
     """Documents as nested JSON records, with the category from the folder they lie in (S9's mirrored tree)."""
     path = scratch(t, "s8")
     section = F.array(F.struct(F.lit("m").alias("marker_id"), F.lit("I").alias("marker"), F.lit("").alias("title"), F.col("text"), F.array(F.lit(1)).alias("fn_indexes")))
-    docs = t.documents.where("doc_id < 50").select("lang", F.concat("doc_id", F.lit(".json")).alias("source_file"), section.alias("sections_list"))
+    docs = t.documents.select("lang", F.concat("doc_id", F.lit(".json")).alias("source_file"), section.alias("sections_list"))
     sinks.write_json(docs, path, ["lang"])
     read = t.spark.read.schema(files.FINAL).option("recursiveFileLookup", True).json(path).select("*", F.regexp_extract("_metadata.file_path", "lang=([a-z]+)", 1).alias("category"))
     return read.select(F.col("source_file").alias("name"), "category", F.aggregate("sections_list", F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"])).alias("n_chars"))
@@ -410,9 +410,9 @@ def sections(t: Tables) -> DataFrame:
     return whole.groupBy("doc").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"\bbody\b"), F.lit(0)))).alias("n_spans"))
 
 
-@query("x10_xml_sections", "select n_nationkey as k, 'a1' as id, 'Art. 1' as title, n_name || ' x' as text, '/x' as refs from nation", tables=False)
+@query("x10_xml_sections", "select n_nationkey as k, 'a1' as id, 'Art. 1' as title, 'Art. 1' || chr(10) || chr(10) || n_name || ' end' as text, '/x' as refs from nation", tables=False)
 def xml_sections(t: Tables) -> DataFrame:
-    body = F.concat(F.lit('<akomaNtoso><body><article eId="a1"><num>Art. 1</num><p>'), F.regexp_replace("n_name", "&", ""), F.lit(' <ref href="/x">x</ref></p></article></body></akomaNtoso>'))
+    body = F.concat(F.lit('<akomaNtoso><body><level eId="a1"><num>Art. 1</num><p>'), F.regexp_replace("n_name", "&", ""), F.lit('<authorialNote><ref href="/x">x</ref></authorialNote> end</p></level></body></akomaNtoso>'))
     return xml.sections(t.nation.select(F.col("n_nationkey").alias("k"), body.alias("xml"))).select("k", F.explode("sections").alias("s")).select("k", "s.id", "s.title", "s.text", F.array_join("s.references", ",").alias("refs"))
 
 
@@ -423,7 +423,7 @@ def xml_metadata(t: Tables) -> DataFrame:
     return xml.metadata(t.nation.select(F.col("n_nationkey").alias("k"), source.alias("xml"))).select("k", "law_url", "decision_date")
 
 
-@query("f26_markup_text", "select n_nationkey as k, n_name || ' x' || chr(10) || 'end' as text from nation", tables=False)
+@query("f26_markup_text", "select n_nationkey as k, n_name || ' x' || chr(10) || chr(10) || 'end' as text from nation", tables=False)
 def markup_text(t: Tables) -> DataFrame:
     source = F.concat(F.lit("<doc><p>"), "n_name", F.lit(" <b>x</b></p><authorialNote>n</authorialNote><p>end</p></doc>"))
     return xml.text(t.nation.select(F.col("n_nationkey").alias("k"), source.alias("xml"))).select("k", "text")

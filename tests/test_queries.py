@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from lexgrid.plans import graph, relational, texts  # noqa: F401
+from lexgrid.plans import graph, relational, texts, trees  # noqa: F401
 from lexgrid.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
