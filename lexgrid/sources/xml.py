@@ -10,57 +10,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SECTIONS = "array<struct<id:string,title:string,text:string,references:array<string>>>"
-# Element names of the format.
-BLOCKS = {"p", "num", "heading", "blockList", "item", "listIntroduction", "paragraph", "content", "block", "tr", "table"}
-SKIPPED = {"authorialNote"}
-LEVELS = {"article", "level", "section", "chapter", "part", "title", "book"}
+# Element names of the format; blank lines or line ends that go before and after an element.
+BEFORE = {
+    **dict.fromkeys(("level", "article", "chapter", "part", "book", "annex", "doc", "component", "h1", "h2", "h3", "p", "h4", "h5", "h6", "heading", "subheading", "paragraph", "num", "content"), 2),
+    **dict.fromkeys(("listintroduction", "item", "blocklist", "br"), 1),
+}
+AFTER = {
+    **dict.fromkeys(("p", "h1", "h2", "h3", "h4", "h5", "h6", "level", "article", "paragraph", "heading", "subheading", "blocklist", "item", "num", "content"), 2),
+    "listintroduction": 1,
+}
+NOTE = "authorialNote"
+LEVEL = "level"
+CONTAINERS = ("mainBody", "conclusions", "body", "doc")
+JOINTS = (" ", "\n", "\n\n")
 
 
 def _name(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
 
 
-def markup_text(e: ET.Element, stop: set[str] = frozenset()) -> str:
-    """Text with a line for each block element; notes, and elements named in `stop`, are left out."""
-    out: list[str] = []
-    todo: list[ET.Element | str] = [e]  # elements to enter, and text to write after them
+def _own(e: ET.Element, nested: bool = True) -> Iterator[ET.Element]:
+    """e and its descendants in document order; without those of levels inside it unless `nested`."""
+    todo = [e]
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-            continue
-        name = _name(x)
-        if x is not e and (name in SKIPPED or name in stop):
-            continue
-        line = "\n" if name in BLOCKS else ""
-        out.append(line + (x.text or "").replace("\n", " "))
-        todo.append(line)
-        for child in reversed(x):
-            todo += [(child.tail or "").replace("\n", " "), child]
-    lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
-    return "\n".join(line for line in lines if line)
+        yield x
+        todo += [c for c in reversed(x) if nested or _name(c) != LEVEL]
+
+
+def _first(e: ET.Element, *names: str) -> ET.Element | None:
+    return next((x for x in _own(e) if _name(x) in names), None)
+
 
+def markup_text(e: ET.Element, nested: bool = True) -> str:
+    """Text in which elements stand apart as their names ask: pieces are joined by a blank, a line end or an empty line.
 
-def _unit(e: ET.Element) -> dict:
-    heads = [c for c in e if _name(c) in ("num", "heading")]
-    hrefs, todo = [], [e]
-    while todo:  # in document order, without the levels inside
+    Of the breaks between two pieces the strongest holds. Notes are left out, and levels inside with what follows them
+    directly unless `nested`. If there is a body, its content alone is read.
+    """
+    start = next((x for x in _own(e, nested) if _name(x) in CONTAINERS), None)
+    out: list[str] = []
+    gap = 0
+    # Elements to enter, text to write and breaks to make after them.
+    todo: list[ET.Element | str | int] = []
+
+    def enter(x: ET.Element) -> None:
+        for child in reversed(x):
+            if nested or _name(child) != LEVEL:
+                todo.extend((child.tail or "", child))
+        todo.append(x.text or "")
+
+    if start is None:
+        todo.append(e)
+    else:
+        enter(start)
+    while todo:
         x = todo.pop()
-        if _name(x) == "ref" and x.get("href"):
-            hrefs.append(x.get("href"))
-        todo += [c for c in reversed(x) if _name(c) not in LEVELS]
-    return {"id": e.get("eId") or e.get("id") or "", "title": " ".join(filter(None, (markup_text(h).replace("\n", " ") for h in heads))), "text": markup_text(e, LEVELS | {"num", "heading"}), "references": list(dict.fromkeys(hrefs))}
+        if isinstance(x, int):
+            gap = max(gap, x)
+        elif isinstance(x, str):
+            piece = " ".join(x.split())
+            if piece:
+                out += [JOINTS[gap], piece] if out else [piece]
+                gap = 0
+        elif _name(x) != NOTE:
+            name = _name(x).lower()
+            gap = max(gap, BEFORE.get(name, 0))
+            todo.append(AFTER.get(name, 0))
+            enter(x)
+    return "".join(out)
+
+
+def _raw(e: ET.Element) -> str:
+    return " ".join("".join(e.itertext()).split())
+
+
+def _references(whole: ET.Element, scope: list[ET.Element]) -> list[str]:
+    """Links of the notes of `whole`, in order, once each, that also stand in the scope."""
+    inside = {x.get("href") for x in scope if x.get("href")}
+    links = [r.get("href") for n in (whole.iter() if inside else ()) if _name(n) == NOTE for r in n.iter() if _name(r) == "ref"]
+    return [h for h in dict.fromkeys(links) if h in inside]
+
+
+def _level(e: ET.Element) -> dict:
+    """The title is the level's number, or its heading where the number is blank."""
+    child = lambda n: next((c for c in e if _name(c) == n), None)
+    number, head = child("num"), child("heading")
+    title = f"Level {e.get('eId')}" if number is None else _raw(number)
+    if head is not None and (number is None or not title):
+        title = _raw(head)
+    return {"id": e.get("eId"), "title": title, "text": markup_text(e, nested=False), "references": _references(e, list(_own(e, nested=False)))}
+
+
+def _annex(e: ET.Element, place: int) -> dict:
+    """The title is that of the preface, or its number; the text goes up to the first level or component of the body."""
+    preface = next((c for c in e if _name(c) == "preface"), None)
+    named = [] if preface is None else [x for x in preface.iter() if _name(x) == "h1"]
+    named = named or [c for c in e if _name(c) == "h1"]
+    if not named and preface is not None:
+        blocks = [b for c in preface if _name(c) == "container" for b in c if _name(b) == "block" and b.get("name") == "num"]
+        named = [x for b in blocks for x in b if _name(x) == "num"] or [x for x in preface.iter() if _name(x) == "num"]
+    body = next(filter(lambda x: x is not None, (_first(e, n) for n in CONTAINERS)))
+    end = next((i for i, c in enumerate(body) if _name(c) in (LEVEL, "component")), len(body))
+    scope = ET.Element(body.tag, body.attrib)
+    scope.text = body.text
+    scope.extend(body[:end])
+    return {"id": f"annex_{place}", "title": _raw(named[0]) if named else f"Allegato {place}", "text": markup_text(scope), "references": _references(e, list(scope.iter()))}
 
 
 def parse_sections(source: str | None) -> list[dict]:
-    """Annexes, then levels, by id as text; direct content only, links in order once; broken XML gives none."""
+    """Annexes by their place, then levels with an eId, ordered by id as text; broken XML gives none.
+
+    A level's text and links leave out the levels inside it, which are sections of their own.
+    """
     try:
         root = ET.fromstring(source or "")
     except ET.ParseError:
         return []
-    annexes = [e for e in root.iter() if _name(e) in ("attachment", "doc") and (e.get("name") == "annex" or _name(e) == "attachment")]
-    levels = [e for e in root.iter() if _name(e) in LEVELS]
-    return sorted(map(_unit, annexes), key=lambda s: s["id"]) + sorted(map(_unit, levels), key=lambda s: s["id"])
+    is_annex = lambda x: _name(x) == "doc" and x.get("name") == "annex"
+    annexes = [x for c in root.iter() if _name(c) == "component" for x in c if is_annex(x)] or [x for x in root.iter() if x is not root and is_annex(x)]
+    levels = [x for x in root.iter() if x is not root and _name(x) == LEVEL and x.get("eId")]
+    found = [_annex(x, i) for i, x in enumerate(annexes, 1)] + list(map(_level, levels))
+    return sorted(found, key=lambda s: (not s["id"].startswith("annex_"), s["id"]))
 
 
 def sections(df: DataFrame, xml: str = "xml", out: str = "sections") -> DataFrame:

@@ -7,14 +7,19 @@ from lexgrid.sources import files, sinks, xml
 from lexgrid.streaming import streams
 
 ACT = """<akomaNtoso xmlns="urn:x"><act><meta><identification><FRBRWork><FRBRuri value="/oc/1"/><FRBRdate date="1999-04-18"/></FRBRWork></identification></meta>
-<body><chapter eId="c1"><num>1.</num><heading>General</heading><article eId="c1/a1"><num>Art. 1</num><p>Text <ref href="/a">a</ref>, <ref href="/a">again</ref>
-<authorialNote><p>note</p></authorialNote> end</p></article></chapter></body></act></akomaNtoso>"""
+<body><level eId="c1"><num/><heading>General</heading><level eId="c1/a1"><num>Art. 1</num><p>Text<b>bold</b> <ref href="/a">a</ref>
+<authorialNote><p>note <ref href="/b">b</ref><ref href="/a">a</ref><ref href="/b">b</ref></p></authorialNote> end</p><blockList><listIntroduction>of</listIntroduction><item>x<br/>y</item></blockList></level>
+</level><level><p>without id</p></level></body></act>
+<components><component><doc name="annex"><preface><h1>Annex <i>A</i></h1></preface><mainBody><p>first<authorialNote><ref href="/c"/></authorialNote></p><level eId="z"><p>later<authorialNote><ref href="/d"/></authorialNote></p></level><p>cut</p></mainBody></doc></component>
+<component><doc name="annex"><preface><container><block name="num"><num>2</num></block></container></preface><body><p>second</p></body></doc></component></components></akomaNtoso>"""
 
 
 def test_xml(spark):
     got = xml.parse_sections(ACT)
-    assert [(s["id"], s["title"]) for s in got] == [("c1", "1. General"), ("c1/a1", "Art. 1")]
-    assert got[0]["text"] == "" and got[1]["text"] == "Text a, again end" and got[1]["references"] == ["/a"]
+    assert [(s["id"], s["title"], s["references"]) for s in got] == [
+        ("annex_1", "Annex A", ["/c"]), ("annex_2", "2", []), ("c1", "General", []), ("c1/a1", "Art. 1", ["/b", "/a"]), ("z", "Level z", ["/d"]),
+    ]
+    assert [s["text"] for s in got] == ["first", "second", "General", "Art. 1\n\nText bold a end\n\nof\nx\ny", "later"]
     assert xml.parse_sections("<broken") == [] and xml.parse_sections(None) == []
     df = spark.createDataFrame([(ACT,), (None,), ("<broken",)], "xml string")
     assert xml.sections(df).count() == 3
@@ -63,7 +68,7 @@ def test_report_says_what_it_leaves_out(spark):
 
 
 def test_deep_markup():
-    deep = "<a>" + "<level>" * 5000 + "<p>x</p>" + "</level>" * 5000 + "</a>"
+    deep = "<a>" + "<level eId='x'>" * 5000 + "<p>x</p>" + "</level>" * 5000 + "</a>"
     assert xml.parse_sections(deep)[-1]["text"] in ("", "x") and len(xml.parse_sections(deep)) == 5000
 
 
