@@ -10,6 +10,7 @@ from lexgrid.graph import algorithms as G
 from lexgrid.graph import model as M
 from lexgrid.operators import tables as O
 from lexgrid.plans.registry import Tables, query
+from lexgrid.runtime import durable
 
 TOP = 10
 
@@ -283,10 +284,10 @@ def verdicts(t: Tables) -> DataFrame:
 
 @query("g5_betweenness_sampled")
 def betweenness(t: Tables) -> DataFrame:
-    """Sampled: a tenth of the nodes as pivots, here of the sparse graph."""
+    """Sampled: a tenth of the nodes as pivots."""
     laws = t.laws
     pivots = G.hashed_pivots(laws, max(1, laws.count() // 10))
-    return G.betweenness(laws, t.chain, pivots, scale=10.0).select(F.col("id").alias("law"), "score")
+    return G.betweenness(laws, t.edges, pivots, scale=10.0).select(F.col("id").alias("law"), "score")
 
 
 @query("g6_betweenness_exact", ", ranked as (select id as law, cast(row_number() over (partition by customer order by id) - 1 as double) as a, cast(count(*) over (partition by customer) as double) as n from laws) select law, round(a * (n - 1 - a), 6) as score from ranked")
@@ -311,10 +312,12 @@ def eigenvector(t: Tables) -> DataFrame:
 
 @query("g9_louvain")
 def louvain(t: Tables) -> DataFrame:
-    """Communities of the category graph's cities: customers and suppliers by orders, with their modularity."""
-    edges = t.chain
-    parts = G.louvain(edges, levels=4, moves=4)
-    return G.modularity(edges, parts).select(F.round("q", 6).alias("q"))
+    """Communities of the largest component of the citation graph: each law with its part, and the partition's modularity."""
+    placed = durable(G.weak_components(t.laws, t.edges))
+    largest = O.top(placed.groupBy("component").agg(F.count("*").alias("n")), 1, F.desc("n"), F.col("component"))
+    edges = durable(M.induced(t.edges, placed.join(largest, "component").select("id")))
+    parts = durable(G.louvain(edges))
+    return parts.join(G.modularity(edges, parts)).select(F.col("id").alias("law"), "part", F.round("q", 6).alias("q"))  # one row
 
 
 @query("g11_modularity", ", placed as (select a.validity as pa, b.validity as pb from edges e join laws a on e.src = a.id join laws b on e.dst = b.id), ends as (select pa as part, case when pa = pb then 1 else 0 end as inside from placed union all select pb, 0 from placed), by_part as (select part, cast(sum(inside) as double) as inside, cast(count(*) as double) as degree from ends group by 1) select round(sum(inside) / (sum(degree) / 2) - sum(degree * degree) / (sum(degree) * sum(degree)), 9) as q from by_part")

@@ -402,7 +402,12 @@ def accretion(t: Tables) -> DataFrame:
     return S.joined_segments(rows, "conv_id", "turn", F.col("role") == "user", "text")
 
 
-@query("w6_state_fold")
+FOLD = """with v as (select l_orderkey as doc, list(cast(l_partkey % 9 + 1 as integer) order by l_linenumber, l_partkey % 9 + 1) as v from lineitem group by 1),
+f as (select doc, list_reduce(list_transform(v, lambda x: [x]), lambda a, x: case when x[1] > a[-1] and x[1] <= a[-1] + 4 then list_concat(a, x) else a end, [0]) as a from v)
+select doc, array_to_string(a[2:], ',') as accepted, len(a) - 1 <> a[-1] as had_gap from f"""
+
+
+@query("w6_state_fold", FOLD, tables=False)
 def state_fold(t: Tables) -> DataFrame:
     listed = t.lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 9 + 1).cast("int").alias("n")))), lambda x: x["n"]).alias("v"))
     kept, gap = S.accepted(F.col("v"))

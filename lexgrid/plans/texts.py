@@ -386,7 +386,20 @@ def split_annex(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", annex.isNotNull().alias("has_annex"))
 
 
-@query("x3_document_class")
+def _class_sql() -> str:
+    """Both cascades by counts of lines. The preamble is always the first two lines here."""
+    n = lambda part, p: f"len(list_filter({part}, lambda x: regexp_matches(x, '{p}')))"
+    counts = lambda part, k: f"regexp_matches(array_to_string({part}, chr(10)), '{D.MODIFIES}') as says{k}, {n(part, D.ROMAN_LINE)} as roman{k}, {n(part, D.ARTICLE_LINE)} as article{k}, {n(part, D.SECTION_LINE)} as section{k}, {n(part, D.LAW_LIST_LINE)} as laws{k}"
+    amended = lambda k: f"when says{k} or (roman{k} > 0 and roman{k} >= article{k} and section{k} = 0) then 'Modification'"
+    return f"""with t as (select doc_id, concat_ws(chr(10), 'Titolo', 'ordina:', case doc_id % 4 when 0 then 'Art. 1' when 1 then 'I' when 2 then 'La legge è modificata come segue:' end, text) as text from documents),
+l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[3:] as body from t),
+c as (select doc_id, {counts('body', '')}, {counts('body[:75]', '_early')} from l)
+select doc_id, case {amended('')} when laws > 0 and section = 0 and article <= roman + laws then 'Modification'
+ when section + article > 0 and (roman = 0 or article >= roman) and (laws = 0 or article >= laws) then 'Base' when roman > 0 then 'Modification' else 'Unknown' end as class,
+ case {amended('_early')} when section_early + article_early > 0 and (roman_early = 0 or article_early >= roman_early) then 'Base' {amended('')} when section + article > 0 then 'Base' else 'Unknown' end as early_class from c"""
+
+
+@query("x3_document_class", _class_sql(), tables=False)
 def document_class(t: Tables) -> DataFrame:
     """Both rule sets over documents with headings put in."""
     i = F.col("doc_id") % 4
