@@ -185,11 +185,11 @@ def act_report(t: Tables) -> DataFrame:
 
 @query("k1_upsert", "select o_orderkey as id, o_orderstatus as status, case when o_orderkey % 3 = 0 then 'old' else 'new' end as state from orders", tables=False)
 def upsert(t: Tables) -> DataFrame:
-    """A written table takes a batch of all acts: known keys keep their row, new ones are added once; both are written as one set."""
+    """A written table takes a batch of all acts: known keys keep their row, new ones are added once, a row without key is skipped; both are written as one set."""
     rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     old, new = _scratch(t, "k1-old"), _scratch(t, "k1-new")
     rows.where("id % 3 = 0").withColumn("state", F.lit("old")).write.parquet(old)
-    batch = rows.unionByName(rows).unionByName(rows.limit(1).select(F.lit(None).cast("bigint").alias("id"), "status")).withColumn("state", F.lit("new")).withColumn("at", F.lit(0))
+    batch = rows.unionByName(rows).unionByName(t.spark.createDataFrame([(None, "no key")], rows.schema)).withColumn("state", F.lit("new")).withColumn("at", F.lit(0))
     M.first_wins(batch, t.spark.read.parquet(old), "id", "at").write.parquet(new)
     return t.spark.read.parquet(new)
 
