@@ -14,7 +14,7 @@ from lexgrid.operators import documents as D
 from lexgrid.operators import sectioner
 from lexgrid.operators import tables as O
 from lexgrid.plans.registry import Tables, query
-from lexgrid.runtime import shared_dir
+from lexgrid.runtime import durable, shared_dir
 from lexgrid.sources import files, sinks, xml
 
 #: Line items of an act on one page.
@@ -92,14 +92,14 @@ def reference_kinds(t: Tables) -> DataFrame:
 
 @query("x6_references", ACTS + "select doc, cast(i as varchar) as fn_number, case l_returnflag when 'R' then 'RU' when 'A' then 'FF' else 'RS' end as type, case l_returnflag when 'N' then '832.' || l_linenumber else '1999 ' || l_suppkey end as text from a", tables=False)
 def act_references(t: Tables) -> DataFrame:
-    flat = D.spans(_acts(t))
+    flat = durable(D.spans(_acts(t)))  # read several times
     return D.references(flat, D.elements(flat)).select("doc", "fn_number", "type", "text")
 
 
 @query("x7_act_sections", ACTS + "select doc, 'Art. ' || i as marker, 'Scope ' || l_returnflag as title, 'Art. ' || i || ' Scope ' || l_returnflag || ' part ' || l_partkey || ' [FN_' || i || ']' as text, cast(i as varchar) as notes from a union all select distinct doc, 'Preamble', 'Preamble', 'intro ' || o_custkey, '' from a", tables=False)
 def act_sections(t: Tables) -> DataFrame:
     """Sections with marks, preamble, dropped page headers and blocks of references."""
-    flat = D.spans(_acts(t))
+    flat = durable(D.spans(_acts(t)))  # read several times
     found = D.elements(flat)
     whole = D.sections(flat, D.markers(found), D.title(found), D.references(flat, found))
     return whole.select("doc", "marker", "title", "text", F.array_join(F.col("fn_indexes").cast("array<string>"), ",").alias("notes"))
