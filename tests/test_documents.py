@@ -85,3 +85,35 @@ def test_footers(spark):
     df = spark.createDataFrame(rows, "doc string, page int, block int, x0 double, y0 double, text string")
     r = D.footers(df, F.lit(1000.0)).first()
     assert r.numbers == [1, 2] and r.footnotes[0] == "1 First note of all goes on here"
+
+
+def test_sections_without_joins(spark):
+    """Trees of all sorts of spans, with several pages, repeated and missing marks: read() gives what the separate steps give."""
+    import random
+
+    words = ["Act", " Federal ", "Art. 1", "Art. 2b", "II", "3. Scope", "RU", "RS", "FF", "1999", "832.20", "7", "1", "12", " ", "", "RU 1999", "plain"]
+    draw = random.Random(5)
+    rows = []
+    for d in range(60):
+        seq = 0
+        for p in range(draw.randint(1, 3)):
+            for b in range(draw.randint(1, 5)):
+                for i in range(draw.randint(1, 4)):
+                    rows.append((f"d{d}", seq, p, b, 0, i, f"{p}-{b}-{i}", draw.choice(words), draw.random() < 0.5, draw.random() < 0.3, draw.choice([50.0, 200.0]), 200.0))
+                    seq += 1
+    f = spark.createDataFrame(rows, COLUMNS)
+    found = D.elements(f)
+    apart = D.sections(f, D.markers(found), D.title(found), D.references(f, found))
+    columns = ["doc", "at", "marker", "title", "text", "fn_indexes"]
+    got, want = (sorted(map(str, x.select(columns).collect())) for x in (D.read(f), apart))
+    assert got == want and any("Content" in x for x in got) and any("FN_" in x for x in got)
+
+
+def test_acts_are_shuffled_narrow(spark):
+    """Only line items and acts are shuffled, not spans; and the rows of an act are sorted by place once."""
+    from lexgrid.plans import trees  # noqa: F401
+    from lexgrid.plans.registry import QUERIES
+
+    for name in ("x1_annex_parts", "x5_markers", "x6_references", "x7_act_sections", "w4_title"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sum(" Exchange" in x for x in plan) <= 2 and sum("Sort [doc" in x and "page" in x for x in plan) == 1, name
