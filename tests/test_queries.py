@@ -59,3 +59,15 @@ def test_entry_without_the_optional_subpackage(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text(open(f"{ROOT}/__spark_entry__.py").read())
     code = "import __spark_entry__ as e; n = e.queries(); assert len(n) > 100 and not any(k.startswith('op1_') for k in n); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_partitions_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from lexgrid import runtime
+
+    spark.conf.unset(runtime.INITIAL_PARTS)
+    monkeypatch.setattr(runtime, "PART_BYTES", 1000)
+    try:
+        graph.Tables(spark, FOLDER).lineitem  # noqa: B018
+        assert int(spark.conf.get(runtime.INITIAL_PARTS)) >= os.path.getsize(f"{FOLDER}/lineitem.parquet") // 1000
+    finally:
+        spark.conf.unset(runtime.INITIAL_PARTS)
