@@ -95,3 +95,10 @@ def test_catalog_and_upserts(graph, spark):
     new = spark.createDataFrame([("b", 1, 1), ("c", 1, 2), ("c", 2, 3), (None, 9, 4)], "k string, v int, o int")
     assert sorted(map(tuple, M.first_wins(new, old, "k", "o").collect())) == [("a", 0), ("b", 0), ("c", 1)]
     assert sorted(map(tuple, M.last_wins(new, old, "k", "o").collect())) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_betweenness_in_parts(spark):
+    """Searches that reach more than `most` nodes are halved; the sums stay."""
+    nodes, edges = spark.range(4), spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 2), (3, 0)], "src long, dst long")
+    whole, parts = ({r.id: r.score for r in G.betweenness(nodes, edges, nodes, most=m).collect()} for m in (1000, 10))
+    assert whole == parts == {0: 3.0, 1: 0.0, 2: 3.0, 3: 3.0}
