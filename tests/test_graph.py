@@ -102,3 +102,34 @@ def test_betweenness_in_parts(spark):
     nodes, edges = spark.range(4), spark.createDataFrame([(0, 1), (1, 2), (2, 3), (0, 2), (3, 0)], "src long, dst long")
     whole, parts = ({r.id: r.score for r in G.betweenness(nodes, edges, nodes, most=m).collect()} for m in (1000, 10))
     assert whole == parts == {0: 3.0, 1: 0.0, 2: 3.0, 3: 3.0}
+
+
+def test_components_of_a_forest_take_one_write_a_round(spark, monkeypatch):
+    """Chains hang each node under one other from the start: a join a round, no minima."""
+    from lexgrid.graph import components
+
+    written = []
+    monkeypatch.setattr(components, "durable", lambda df, real=components.durable: (written.append(1), real(df))[1])
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "src int, dst int")
+    assert {r.component for r in connected_components(path).collect()} == {0}
+    assert len(written) <= 11
+
+
+def test_components_of_a_random_graph(spark):
+    import random
+
+    draw = random.Random(5)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(190)] + [(299, i) for i in range(0, 60, 2)] + [(7, None), (None, None)]
+    near = {}
+    for a, b in pairs[:-2]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for n in sorted(near):
+        todo = [n] if n not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = n
+                todo += near[x]
+    assert {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src int, dst int")).collect()} == want
