@@ -1,7 +1,7 @@
 """Sections of an act in one pass over the blocks of its pages: heading lines open sections, notes at the foot are linked to them.
 
-Input: doc, page, block, y0, height, text, one row a block. Windows run within a document, and marks meet notes by an
-equal key (document, page, number); no step holds more than one document's lines together.
+Input: doc, page, block, y0, height, text, one row a block. Windows and groups run within a document, and marks meet
+notes by page and number inside it: nothing is joined, and no step holds more than one document's lines together.
 """
 
 from __future__ import annotations
@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrid.operators import sequences
-
 # Headings that open a section, the name each gives it, and the forms of notes and of their marks.
 HEADINGS = (
     ("Art", r"(?i)^\s*(?:Art\.|Articolo)\s+([\w\d.\-]+)\b"),
@@ -20,6 +18,8 @@ HEADINGS = (
     ("Allegato", r"(?i)^\s*Allegato\s+(\d+)\b\.?"),
     ("Roman", r"(?i)^\s*([IVXLCDM]+)\.?\s*$"),
 )
+#: How every heading starts.
+OPENING = r"(?i)^\s*(?:Art|Capitolo|Sezione|Titolo|Allegato|[IVXLCDM]+\.?\s*$)"
 NOTE = r"^(\d+)\s*(.*)$"
 RAISED = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 YEAR_MARK = r"((?:19|20)\d{2})(\d)(?=[\s.,;!?:)]|$)"
@@ -29,39 +29,28 @@ FOOT = 0.85
 
 
 def _squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
-
-
-def _lines(blocks: DataFrame) -> DataFrame:
-    """One row a non-blank line, its place within the block in `line`."""
-    rows = blocks.select("doc", "page", "block", "y0", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return rows.withColumn("text", _squeezed(F.col("raw"))).where("text <> ''").drop("raw")
+    return F.trim(F.when(c.rlike(r"[^\S ]|  "), F.regexp_replace(c, r"\s+", " ")).otherwise(c))
 
 
-def notes(blocks: DataFrame, foot: float = FOOT) -> DataFrame:
-    """doc, page, block, line, number, part, run: the lines of the foot of each page; `run` 0 stands before its first note.
-
-    A line that starts with digits, plain or raised, opens a note; what follows on the page belongs to it.
-    """
-    rows = _lines(blocks.where(F.col("y0") > foot * F.col("height")))
-    raised = F.regexp_extract("text", f"^([{RAISED}]+)", 1)
-    number = F.when(F.col("text").rlike(NOTE), F.regexp_extract("text", NOTE, 1)).when(raised != "", F.translate(raised, RAISED, "0123456789"))
-    part = F.when(F.col("text").rlike(NOTE), F.regexp_extract("text", NOTE, 2)).when(raised != "", F.trim(F.regexp_replace("text", f"^[{RAISED}]+", ""))).otherwise(F.col("text"))
-    in_page = Window.partitionBy("doc", "page").orderBy("y0", "block", "line").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("doc", "page", "block", "line", "y0", number.alias("number"), part.alias("part")).withColumn("run", F.sum(F.when(F.col("number").isNotNull(), 1).otherwise(0)).over(in_page))
+def _lines(blocks: DataFrame, foot: float) -> DataFrame:
+    """One row a non-blank line, its place among those of the block in `line`; `low` lines stand at the foot."""
+    low = F.coalesce(F.col("y0") > foot * F.col("height"), F.lit(False))
+    solid = F.filter(F.transform(F.split("text", "\n"), _squeezed), lambda x: x != "")
+    return blocks.select("doc", "page", "block", "y0", low.alias("low"), F.posexplode(solid).alias("line", "text"))
 
 
-def note_texts(found: DataFrame) -> DataFrame:
-    """doc, page, number, note: the text of each number of a page; of several the last that isn't empty."""
-    rows = F.array_sort(F.collect_list(F.struct("y0", "block", "line", "part")))
-    joined = found.where("run > 0").groupBy("doc", "page", "run").agg(F.max("number").alias("number"), _squeezed(F.array_join(F.transform(rows, lambda r: r["part"]), " ")).alias("note"))
-    return joined.where("note <> ''").groupBy("doc", "page", "number").agg(F.max_by("note", "run").alias("note"))
+def _note_line(text: Column) -> tuple[Column, Column]:
+    """(number of the note that a line opens, or null; what the line adds to its note): digits, plain or raised, open one."""
+    raised = F.regexp_extract(text, f"^([{RAISED}]+)", 1)
+    number = F.when(text.rlike(NOTE), F.regexp_extract(text, NOTE, 1)).when(raised != "", F.translate(raised, RAISED, "0123456789"))
+    part = F.when(text.rlike(NOTE), F.regexp_extract(text, NOTE, 2)).when(raised != "", F.trim(F.regexp_replace(text, f"^[{RAISED}]+", ""))).otherwise(text)
+    return number, part
 
 
 def heading(text: Column) -> Column:
     """The name of the section that a line opens, or null: its kind and its number, dots and blanks as underscores."""
     name = lambda k, p: F.when(text.rlike(p), F.concat(F.lit(f"{k}_"), F.regexp_replace(F.regexp_extract(text, p, 1), r"[.\s]+", "_")))
-    return F.coalesce(*[name(k, p) for k, p in HEADINGS])
+    return F.when(text.rlike(OPENING), F.coalesce(*[name(k, p) for k, p in HEADINGS]))
 
 
 def marks(text: Column) -> tuple[Column, Column]:
@@ -71,33 +60,57 @@ def marks(text: Column) -> tuple[Column, Column]:
     return F.filter(every, lambda m: (F.length(m) < 10) & m.cast("bigint").between(1, LARGEST_MARK)), plain
 
 
-def sections(blocks: DataFrame, foot: float = FOOT) -> DataFrame:
+def sections(blocks: DataFrame, foot: float = FOOT, linked: bool = True) -> DataFrame:
     """doc, at, marker, title, text, notes: the sections of each document in order.
 
     Lines before the first heading are the section Preamble. A block of the foot whose lines all belong to notes leaves
     the text; one that starts before the first note stays whole. `notes` are the texts of the section's marks by page
     and number, equal ones once; a mark without a note on its page has none. A document without lines has no row; a
-    block without text, height or place at the foot counts as body.
+    block without text, height or place at the foot counts as body. Without `linked` notes leave the text all the same, but
+    aren't listed.
     """
-    foot_lines = notes(blocks, foot)
-    low = F.coalesce(F.col("y0") > foot * F.col("height"), F.lit(False))
-    open_blocks = foot_lines.where("run = 0").select("doc", "page", "block").distinct().withColumn("_open", F.lit(True))
-    body = blocks.withColumn("_low", low).join(open_blocks, ["doc", "page", "block"], "left").where(~F.col("_low") | F.col("_open"))
-    rows = _lines(body)
+    order = Window.partitionBy("doc").orderBy("page", "y0", "block", "line")
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    # Every window has this order or the start of it and every group starts with doc, so rows are dealt out and sorted once.
+    rows = _lines(blocks, foot).withColumn("seq", F.row_number().over(order))
+    number, part = _note_line(F.col("text"))
+    rows = rows.select("*", F.when(F.col("low"), number).alias("number"), F.when(F.col("low"), part).alias("part"))
+    in_page, numbered = up_to(Window.partitionBy("doc", "page").orderBy("y0", "block", "line")), F.col("number").isNotNull()
+    rows = rows.select("*", F.sum(F.when(numbered, 1).otherwise(0)).over(in_page).alias("run"), F.first(F.when(numbered, F.struct("y0", "block", "line")), ignorenulls=True).over(in_page).alias("opens"))
+    # A block is open if the page's first note starts after it, or in it but not at its start.
+    is_open = (F.col("run") == 0) | ((F.col("block") == F.col("opens.block")) & (F.col("y0") == F.col("opens.y0")) & (F.col("opens.line") > 0))
+    rows = rows.withColumn("body", ~F.col("low") | is_open)
     found, plain = marks(F.col("text"))
-    rows = rows.select("doc", "page", "y0", "block", "line", F.col("text").alias("title"), heading(F.col("text")).alias("name"), found.alias("marks"), plain.alias("text"))
-    rows = sequences.index(rows, "doc", "page", "y0", "block", "line")
-    rows = sequences.segments(rows, "doc", "seq", F.col("name").isNotNull(), "at")
-    first = F.min(F.struct("seq", "name", "title")).alias("first")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    whole = rows.groupBy("doc", "at").agg(first, F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))
+    rows = rows.withColumn("name", F.when(F.col("body"), heading(F.col("text"))))
+    rows = rows.withColumn("at", F.sum(F.when(F.col("name").isNotNull(), 1).otherwise(0)).over(up_to(order)))
+    if not linked:
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "plain"))), lambda r: r["plain"])
+        whole = rows.where("body").select("doc", "at", "seq", "name", F.col("text").alias("title"), plain.alias("plain")).groupBy("doc", "at")
+        return _named(whole.agg(F.min(F.struct("seq", "name", "title")).alias("first"), texts.alias("texts")))
+    # A line of an open block may be part of the text and of a note.
+    kinds = F.array_compact(F.array(F.when(F.col("body"), F.struct(F.lit(True).alias("body"), F.col("at").alias("key"))), F.when(F.col("low") & (F.col("run") > 0), F.struct(F.lit(False).alias("body"), F.col("run").alias("key")))))
+    rows = rows.select("doc", "page", "seq", "name", F.col("text").alias("title"), "number", F.explode(kinds).alias("k"), F.when(F.col("body"), found).alias("marks"), F.when(F.col("body"), plain).alias("plain"), "part")
+    rows = rows.select("doc", "page", "k.body", "k.key", "seq", "name", "title", "number", "marks", F.when(F.col("k.body"), F.col("plain")).otherwise(F.col("part")).alias("part"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda r: r["part"])
+    pieces = rows.groupBy("doc", "page", "body", "key").agg(
+        F.min(F.when(F.col("body"), F.struct("seq", "name", "title"))).alias("first"), F.max("number").alias("number"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("body"), F.col("marks"))))).alias("marks"), ordered.alias("parts")
+    )
+    # Of several notes of a number the last that isn't empty counts, and only numbers of marks do.
+    note = _squeezed(F.array_join("parts", " "))
+    wanted = ~F.col("body") & (F.length("number") < 10) & F.col("number").cast("bigint").between(1, LARGEST_MARK) & (note != "")
+    text = F.struct("key", "first", "marks", F.array_join("parts", "\n").alias("text"))
+    pages = pieces.groupBy("doc", "page").agg(F.collect_list(F.when(F.col("body"), text)).alias("texts"), F.collect_list(F.when(wanted, F.struct(F.col("key").alias("run"), "number", note.alias("note")))).alias("notes"))
+    placed = pages.select("doc", "page", "notes", F.explode("texts").alias("t"))
+    last = lambda m: F.array_max(F.filter("notes", lambda n: n["number"] == m))["note"]
+    links = F.filter(F.transform("t.marks", lambda m: F.struct(F.col("page"), m.cast("int").alias("n"), last(m).alias("note"))), lambda x: x["note"].isNotNull())
+    whole = placed.select("doc", F.col("t.key").alias("at"), "page", "t.first", "t.text", links.alias("links")).groupBy("doc", "at").agg(
+        F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("first.seq", "text"))).alias("r"), F.array_sort(F.flatten(F.collect_list("links"))).alias("links")
+    )
     # The least page and number of equal notes gives their place.
-    linked = rows.select("doc", "at", "page", F.explode(F.array_distinct("marks")).alias("number")).distinct().join(note_texts(foot_lines), ["doc", "page", "number"])
-    once = linked.groupBy("doc", "at", "note").agg(F.min(F.struct("page", F.col("number").cast("int").alias("n"))).alias("place"))
-    listed = once.groupBy("doc", "at").agg(F.array_sort(F.collect_list(F.struct("place", "note"))).alias("r"))
-    out = whole.join(listed, ["doc", "at"], "left")
+    return _named(whole.withColumns({"texts": F.transform("r", lambda r: r["text"]), "notes": F.array_distinct(F.transform("links", lambda x: x["note"]))}))
+
+
+def _named(whole: DataFrame) -> DataFrame:
     opened = F.col("at") > 0
-    return out.select(
-        "doc", "at", F.when(opened, F.col("first.name")).otherwise("Preamble").alias("marker"), F.when(opened, F.col("first.title")).otherwise("Preamble").alias("title"), "text",
-        F.coalesce(F.transform("r", lambda r: r["note"]), F.array().cast("array<string>")).alias("notes"),
-    )
+    marker, title = F.when(opened, F.col("first.name")).otherwise("Preamble"), F.when(opened, F.col("first.title")).otherwise("Preamble")
+    return whole.select("doc", "at", marker.alias("marker"), title.alias("title"), F.array_join("texts", "\n").alias("text"), *[c for c in whole.columns if c == "notes"])

@@ -33,3 +33,14 @@ def test_last_text_of_a_number_and_ties(spark):
     rows = [("d", 0, 0, 10.0, 1000.0, "Art. 1\nx1"), ("d", 0, 0, 10.0, 1000.0, "Art. 1\nx1"), ("d", 0, 5, 950.0, 1000.0, "1 old\n1 new\n1\n2 "), (None, 0, 0, 1.0, 1000.0, "y")]
     got = sorted((r.doc or "", r.at, r.notes) for r in sectioner.sections(spark.createDataFrame(rows, COLUMNS)).collect())
     assert [g for g in got if g[0]][-1][2] == ["new"] and ("", 0, []) in got
+
+
+def test_documents_are_dealt_out_once(spark):
+    """No join, and one shuffle, by document; without links the same sections."""
+    rows = [("d", 0, 0, 10.0, 1000.0, "intro\n\nArt. 1\nx1"), ("d", 0, 1, 900.0, 1000.0, "foot\n1 note"), ("d", 0, 2, 910.0, 1000.0, "2 more"), ("e", 0, 0, 900.0, 1000.0, "1 only a note")]
+    both = [sectioner.sections(spark.createDataFrame(rows, COLUMNS), linked=x) for x in (True, False)]
+    plan = both[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    linked, plain = ([tuple(r) for r in df.orderBy("doc", "at").collect()] for df in both)
+    assert [r[:5] for r in linked] == plain == [("d", 0, "Preamble", "Preamble", "intro"), ("d", 1, "Art_1", "Art. 1", "Art. 1\nx1\nfoot\n1 note")]
+    assert [r[5] for r in linked] == [[], ["note"]]
