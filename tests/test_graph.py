@@ -133,3 +133,24 @@ def test_components_of_a_random_graph(spark):
                 want[x] = n
                 todo += near[x]
     assert {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src int, dst int")).collect()} == want
+
+
+def test_rounds_leave_held_links_in_place(spark):
+    """A round shuffles what is sent, not the links; nodes that stand twice send and get twice, unknown ends get nothing."""
+    from lexgrid.runtime import held
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 9)], "src int, dst int")
+    nodes = spark.createDataFrame([(1,), (2,), (2,), (3,)], "id int")
+    links = held(edges.withColumn("n", F.lit(1)), "src")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = nodes.groupBy("id").agg(F.count("*").alias("copies"), F.lit(1.0).alias("score"))
+        plan = G._received(links, scores, scores.select("id", "copies", F.lit(0.0).alias("own")), "n")._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("InMemoryRelation")[0].count("Exchange hashpartitioning(src") == 0
+        got = sorted((r.id, round(r.score, 6)) for r in G.pagerank(nodes, edges, 2).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        links.unpersist()
+    first = {1: 0.15 + 0.85 * 0.15, 2: 0.15 + 0.85 * 0.15, 3: 0.15 + 0.85 * 0.15}
+    want = {1: 0.15 + 0.85 * first[2], 2: 0.15 + 0.85 * first[1], 3: 0.15 + 0.85 * first[2]}
+    assert got == sorted((i, round(want[i], 6)) for i in (1, 2, 2, 3))
