@@ -154,3 +154,14 @@ def test_rounds_leave_held_links_in_place(spark):
     first = {1: 0.15 + 0.85 * 0.15, 2: 0.15 + 0.85 * 0.15, 3: 0.15 + 0.85 * 0.15}
     want = {1: 0.15 + 0.85 * first[2], 2: 0.15 + 0.85 * first[1], 3: 0.15 + 0.85 * first[2]}
     assert got == sorted((i, round(want[i], 6)) for i in (1, 2, 2, 3))
+
+
+def test_strong_components_bridge_chains(spark, monkeypatch):
+    """A ring and a chain of one-in-one-out nodes are bridged in few rounds; colours don't walk along them."""
+    rounds = []
+    monkeypatch.setattr(G, "_spread", lambda c, e, real=G._spread: (rounds.append(e.count()), real(c, e))[1])
+    pairs = [(i, (i + 1) % 40) for i in range(40)] + [(0, 50)] + [(i, i + 1) for i in range(50, 60)] + [(60, 61), (61, 60)]
+    nodes, edges = spark.createDataFrame([(i,) for i in range(70)], "id int"), spark.createDataFrame(pairs, "src int, dst int")
+    got = {r.id: r.component for r in G.strong_components(nodes, edges).collect()}
+    assert got == {i: 0 if i < 40 else 60 if i in (60, 61) else i for i in range(70)}
+    assert sum(rounds) < 20
