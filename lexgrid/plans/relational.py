@@ -12,6 +12,7 @@ from lexgrid.operators import lifecycle as L
 from lexgrid.operators import sequences as S
 from lexgrid.operators import tables as O
 from lexgrid.plans.registry import Tables, query
+from lexgrid.runtime import parts
 from lexgrid.streaming import streams
 
 
@@ -365,7 +366,9 @@ def label_counts(t: Tables) -> DataFrame:
 
 @query("a28_top_phrases", "with w as (select doc_id, unnest(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) as phrase, unnest(range(len(list_filter(string_split(lower(text), ' '), lambda x: x <> '')))) as pos from documents), c as (select doc_id, phrase, count(*) as n, min(pos) as pos from w group by 1, 2) select doc_id, cast(place as integer) as place, phrase, n from (select *, row_number() over (partition by doc_id order by n desc, pos) as place from c) where place <= 2", tables=False)
 def top_phrases(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.filter(F.split(F.lower("text"), " "), lambda w: w != "").alias("phrases"))
+    """Texts are dealt out by document before they are split: of what is counted nothing is shuffled."""
+    texts = t.documents.select("doc_id", "text")
+    rows = texts.repartition(parts(t.spark), "doc_id").select("doc_id", F.filter(F.split(F.lower("text"), " "), lambda w: w != "").alias("phrases"))
     return C.phrase_counts(rows, "doc_id", "phrases")
 
 

@@ -71,3 +71,8 @@ def test_partitions_grow_with_the_table(spark, tmp_path, monkeypatch):
         assert int(spark.conf.get(runtime.INITIAL_PARTS)) >= os.path.getsize(f"{FOLDER}/lineitem.parquet") // 1000
     finally:
         spark.conf.unset(runtime.INITIAL_PARTS)
+
+
+def test_top_phrases_shuffle_texts_only(spark):
+    plan = QUERIES["a28_top_phrases"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
