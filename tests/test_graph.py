@@ -165,3 +165,25 @@ def test_strong_components_bridge_chains(spark, monkeypatch):
     got = {r.id: r.component for r in G.strong_components(nodes, edges).collect()}
     assert got == {i: 0 if i < 40 else 60 if i in (60, 61) else i for i in range(70)}
     assert sum(rounds) < 20
+
+
+def test_louvain_of_a_bounded_graph_takes_one_task(spark, monkeypatch):
+    """No rounds over all tasks: the links, the nodes and the result are written, and nothing else."""
+    written = []
+    monkeypatch.setattr(G, "durable", lambda df, real=G.durable: (written.append(1), real(df))[1])
+    pairs = [(a + k, b + k) for k in range(0, 200, 10) for a in range(6) for b in range(a)] + [(k, k + 10) for k in range(0, 190, 10)] + [(3, 3)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    parts = G.louvain(edges)
+    assert parts.count() == 120 and len(written) <= 3
+    want = G.modularity(edges, parts.select("id", F.floor(F.col("id") / 10).alias("part"))).first().q
+    assert G.modularity(edges, parts).first().q >= want - 1e-9
+
+
+def test_louvain_of_a_larger_graph(spark):
+    """Beyond the bound a level takes rounds over all tasks; its contracted graph goes to one task, with what lies inside its nodes."""
+    pairs = [(a + k, b + k) for k in range(0, 40, 10) for a in range(5) for b in range(a)] + [(k, (k + 10) % 40) for k in range(0, 40, 10)]
+    edges = spark.createDataFrame([(f"n{a:02}", f"n{b:02}") for a, b in pairs], "src string, dst string")
+    parts = G.louvain(edges, moves=2, most=40)
+    assert parts.count() == 20
+    want = G.modularity(edges, parts.select("id", F.substring("id", 2, 1).alias("part"))).first().q
+    assert G.modularity(edges, parts).first().q >= want - 0.1
