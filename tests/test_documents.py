@@ -80,6 +80,25 @@ def test_classification_chain(spark):
     assert edges == {("d/Art. 1", "ABROGATES", "RU 1999 3"), ("d/Art. 1", "ABROGATES", "FF 2000 1")}
 
 
+def test_citations_of_whole_acts(spark):
+    """What the chain of single steps gives, from acts as they are: several references of a number, numbers without one, missing parts."""
+    from lexgrid.plans import trees  # noqa: F401
+    from lexgrid.plans.registry import QUERIES
+
+    data = [
+        ("d", [("Art. 1", "abrogato [FN_1] qui, modificato [FN_2]", [1, 2]), ("Art. 2", "introdotto [FN_3]", [3, 9]), ("Art. 3", None, None)], [(1, "1", "FF", "FF 2000 1"), (0, "1", "RU", "1999 3"), (2, "2", None, "x"), (3, "3", "RS", "1.2"), (4, None, "RU", "4")]),
+        ("e", [("Art. 1", "vedi [FN_1]", [1])], [(0, "1", "RU", "1999 3")]), ("f", [], None), ("g", None, [(0, "1", "RU", "5")]),
+    ]
+    acts = spark.createDataFrame(data, "doc string, sections array<struct<marker:string,text:string,fn_indexes:array<int>>>, references array<struct<place:int,fn_number:string,type:string,text:string>>")
+    decided = spark.createDataFrame([("RU 1999 3", None)], "code string, decision_date date")
+    sections, refs = acts.select("doc", F.inline("sections")), acts.select("doc", F.inline("references"))
+    want = classify.citations(classify.label_maps(classify.predict(classify.prompts(sections, refs, decided), "prompt")), refs).collect()
+    got = classify.cited(acts, decided).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 5
+    plan = QUERIES["x12_act_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("Exchange hashpartitioning" in x for x in plan) <= 4 and sum("ArrowEvalPython" in x for x in plan) == 1
+
+
 def test_footers(spark):
     rows = [("d", 0, 0, 30.0, 700.0, "1 First note of all"), ("d", 0, 1, 60.0, 720.0, "goes on here"), ("d", 0, 2, 31.0, 740.0, "2 Second note text"), ("d", 0, 3, 30.0, 100.0, "9 Not a footnote")]
     df = spark.createDataFrame(rows, "doc string, page int, block int, x0 double, y0 double, text string")
