@@ -72,6 +72,8 @@ def citations(labelled: DataFrame, refs: DataFrame) -> DataFrame:
 def cited(acts: DataFrame, decided: DataFrame, predictor: Predictor = keyword_predictor, window: int = 200) -> DataFrame:
     """src, rel_type, dst: what citations(label_maps(predict(prompts(..))), refs) gives, from whole acts; labels outside the domain give no edge.
 
+    Where sections of a marker repeat a number with other labels, each label gives edges (a map of labels can't hold both and fails).
+
     acts: doc, sections (array of marker, text, fn_indexes), references (array of place, fn_number, type, text); decided:
     code, decision_date. Notes and references of a number meet in a window within their act: nothing is joined to an act, and no
     text is shuffled where acts are dealt by doc.
